@@ -85,7 +85,8 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "label",
                       estimators: dict | None = None, test_fraction: float = TEST_FRACTION,
-                      seed: int = SPLIT_SEED) -> tuple[DataFrame, dict[str, PipelineModel], str]:
+                      seed: int = SPLIT_SEED, key_cols: list[str] | None = None,
+                      scale: bool = True) -> tuple[DataFrame, dict[str, PipelineModel], str]:
     """M9 + E5 + A18: fit every candidate on the train split, evaluate on the test split,
     pick the best by accuracy (strict ``>``: the first listed wins ties).
 
@@ -93,9 +94,14 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     roc_auc), the fitted pipelines and the best model's name.
     """
     data = deterministic_split(df.withColumn(label_col, F.col(label_col).cast("double")),
-                               test_fraction, seed, key_cols=[*feature_cols, label_col])
-    train = data.where(F.col("split") == "train").persist()
+                               test_fraction, seed, key_cols=key_cols or [*feature_cols, label_col])
+    train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
+    if scale:
+        # Fitted on the train split only (the reference fits on all rows: T8).
+        scaler = fit_population_scaler(train, feature_cols)
+        train, test = apply_scaler(train, scaler), apply_scaler(test, scaler)
+    train = train.persist()
     n_train = train.count()
     estimators = estimators or candidate_estimators(n_train, seed, label=label_col)
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")

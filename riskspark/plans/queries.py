@@ -615,3 +615,146 @@ def q_importance_scaled(spark, sf):
     s = ml.minmax_shade(imp, "importance")
     s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))).cast("int"))
     return round_doubles(s.select("feature", "importance", "norm", "shade", "rank"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+@register("stream_daily_kpis", """
+WITH h AS (SELECT ts, least(value / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) AS probability FROM events),
+d AS (SELECT date_trunc('day', ts) AS day, CAST(count(*) AS BIGINT) AS total,
+    CAST(sum(CASE WHEN probability < CAST(0.3 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS low_n,
+    CAST(sum(CASE WHEN probability >= CAST(0.3 AS DOUBLE) AND probability < CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS moderate_n,
+    CAST(sum(CASE WHEN probability >= CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS high_n,
+    CAST(sum(CASE WHEN probability * CAST(100 AS DOUBLE) > CAST(60 AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS over_60_n,
+    round(avg(probability), 6) AS avg_probability FROM h GROUP BY 1)
+SELECT * FROM d WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
+def q_stream_daily_kpis(spark, sf):
+    from ..streaming.jobs import stream_daily_kpis
+    return round_doubles(stream_daily_kpis(spark, sf, glob="events.parquet"))
+
+
+# --------------------------------------------------------------------------- ML (rows-only)
+
+_TRAINED: dict = {}
+EMB_DIM = 64
+EMB_FEATURES = [f"f{i}" for i in range(EMB_DIM)]
+
+
+def learnable_view(spark, sf):
+    """The learnable training set: ``embeddings`` with its 64 floats as feature columns and
+    ``label > 0`` as the binary target (P4), like the 0-4 severity -> 0/1 target."""
+    from ..functions.coerce import binarize
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", binarize("label").alias("target"),
+                    *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(EMB_FEATURES)])
+
+
+def _trained(spark, sf):
+    """Fit the three candidates once per session and table (M1, M3-M5, M9): population-sd
+    scaling fitted on the train split, then the three pipelines."""
+    from ..operators import ml
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = ml.train_and_compare(learnable_view(spark, sf), EMB_FEATURES, "target",
+                                             key_cols=["vec_id"])
+    return _TRAINED[key]
+
+
+@register("train_compare")
+def q_train_compare(spark, sf):
+    results, _, best = _trained(spark, sf)
+    return results.withColumn("is_best", F.col("model") == F.lit(best))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    from ..operators import ml
+    _, models, best = _trained(spark, sf)
+    rows = None
+    for name in ("Random Forest", "Logistic Regression"):
+        imp = ml.minmax_shade(ml.feature_importance(models[name], EMB_FEATURES)).withColumn("model", F.lit(name))
+        rows = imp if rows is None else rows.unionByName(imp)
+    return rows
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    """M8 + P24 + P31: each request row names a model (by its label group; an unknown key
+    falls back to the default), rows are scored per chosen model with the saved and
+    reloaded pipelines and stamped with the model's artefact digest."""
+    from ..operators import ml
+    from ..sources.artifacts import artifact_manifest, load_model, save_model
+    from ..session import shared_dir
+    import uuid
+    _, models, _ = _trained(spark, sf)
+    root = shared_dir(spark, f"riskspark-models-{uuid.uuid4().hex}")
+    for name, m in models.items():
+        save_model(m, f"{root}/{ml.model_key(name)}")
+    loaded = {ml.model_key(n): load_model(f"{root}/{ml.model_key(n)}") for n in models}
+    l = learnable_view(spark, sf).withColumn(
+        "requested", F.when(F.col("label") <= 3, F.lit("logistic_regression"))
+                      .when(F.col("label") <= 6, F.lit("gradient_boosting")).otherwise(F.lit("svm")))
+    chosen = l.withColumn("model_used", validate.choose_model("requested"))
+    parts = [ml.score(m, chosen.where(F.col("model_used") == F.lit(k))) for k, m in loaded.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    manifest = artifact_manifest(spark, root, list(loaded)).select(
+        F.col("model").alias("model_used"), F.col("sha256").alias("model_hash"))
+    return (out.join(F.broadcast(manifest), "model_used", "left")
+            .select("vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash"))
+
+
+@register("artifact_manifest")
+def q_artifact_manifest(spark, sf):
+    from ..operators import ml
+    from ..sources.artifacts import artifact_manifest, save_model
+    from ..session import shared_dir
+    import uuid
+    _, models, _ = _trained(spark, sf)
+    root = shared_dir(spark, f"riskspark-models-{uuid.uuid4().hex}")
+    for name, m in models.items():
+        save_model(m, f"{root}/{ml.model_key(name)}")
+    return artifact_manifest(spark, root, [ml.model_key(n) for n in models] + ["heart_model"])
+
+
+@register("io_roundtrip")
+def q_io_roundtrip(spark, sf):
+    """Every source and sink once over the history and labelled tables (S1-S3, S5, S6, S9,
+    K1-K6, K8); returns the row count seen at each step."""
+    import uuid
+    from ..session import shared_dir
+    from ..sources import files, sinks
+    from ..schemas import SCORE_RECORD_SCHEMA, TRAINING_SCHEMA
+    root = shared_dir(spark, f"riskspark-io-{uuid.uuid4().hex}")
+    h = history_view(spark, sf).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    counts = []
+    sinks.append_history(h, f"{root}/history")                                   # K1
+    stored = sinks.append_with_fallback(h, {"path": f"{root}/store", "fmt": "unreachable_store"},  # K3
+                                        {"path": f"{root}/fallback"})
+    back = files.read_history(spark, f"{root}/history")                         # S3
+    counts.append(("history_parquet", back.count()))
+    counts.append((f"failover_{stored}", files.read_history(spark, f"{root}/fallback").count()))
+    sinks.export_history(back.drop("score_date"), f"{root}/history_json")        # K8
+    j = files.read_history_json(spark, f"{root}/history_json",
+                                back.drop("score_date").schema)                 # S2
+    counts.append(("history_json", j.count()))
+    counts.append(("missing_json", files.read_history_json(spark, f"{root}/nope", SCORE_RECORD_SCHEMA).count()))
+    # Training CSV with '?' markers, written from L (label as target 0..1).
+    l = labelled_view(spark, sf)
+    csv = l.select(*[F.coalesce(F.nullif(F.col(c), F.lit(0.0)).cast("string"), F.lit("?")).alias(c)
+                     for c in L_FEATURES], F.col("label").cast("string"))
+    csv.write.mode("overwrite").option("header", False).csv(f"{root}/training_csv")
+    schema = "l_quantity double, l_extendedprice double, l_discount double, l_tax double, target double"
+    t = files.read_training(spark, f"{root}/training_csv", schema=spark.createDataFrame([], schema).schema)  # S1
+    counts.append(("training_csv", t.count()))
+    m = evaluate.classification_metrics(_l_pred(spark, sf)).select("accuracy", "precision", "recall", "f1_score") \
+        .withColumn("roc_auc", F.lit(None).cast("double"))
+    sinks.write_metrics(m, f"{root}/metrics")                                    # K4
+    counts.append(("metrics", files.read_metrics(spark, f"{root}/metrics").count()))  # S5
+    cmp_rows = [(r["model"], r["accuracy"], r["roc_auc"]) for r in _comparison(spark, sf).collect()]
+    sinks.write_comparison(cmp_rows, spark, f"{root}/comparison")                # K5
+    counts.append(("comparison", files.read_comparison(spark, f"{root}/comparison").count()))  # S6
+    sinks.write_confusion(evaluate.confusion(_l_pred(spark, sf)), f"{root}/confusion")  # K6
+    counts.append(("confusion", files.read_confusion(spark, f"{root}/confusion").count()))  # S9
+    return spark.createDataFrame(counts, "step string, n long")
