@@ -172,14 +172,25 @@ def latest_score(h: DataFrame) -> DataFrame:
     return best.select("r.record_id", "r.timestamp", "r.risk_percent", "r.risk_band")
 
 
-def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every ordered column pair on pairwise-complete rows,
-    tall ``(x, y, r)``; a constant column gives NULL instead of a division error."""
+def corr_matrix(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Pearson correlation on pairwise-complete rows, tall ``(x, y, r)`` for every
+    ordered pair (or just ``pairs``); a constant column gives NULL instead of a division
+    error. Each unordered pair is aggregated once (central-moment aggregates, stable at
+    scale) and emitted in both orders."""
+    want = pairs or [(a, b) for a in cols for b in cols]
+    seen, todo = set(), []
+    for a, b in want:
+        key = tuple(sorted((a, b)))
+        if key not in seen:
+            seen.add(key)
+            todo.append(key)
     aggs = []
-    for a in cols:
-        for b in cols:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
-            r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-    return df.agg(F.array(*aggs).alias("m")).select(F.explode("m").alias("e")).select("e.x", "e.y", "e.r")
+    for i, (a, b) in enumerate(todo):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
+        aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"r{i}"))
+    row = df.agg(*aggs)
+    index = {key: i for i, key in enumerate(todo)}
+    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
+                      F.col(f"r{index[tuple(sorted((a, b)))]}").alias("r")) for a, b in want]
+    return row.select(F.explode(F.array(*cells)).alias("e")).select("e.x", "e.y", "e.r")

@@ -609,9 +609,9 @@ SELECT feature, round(importance, 6) AS importance, round(norm, 6) AS norm, roun
 def q_importance_scaled(spark, sf):
     from pyspark.sql import Window
     from ..operators import ml
-    c = stats.corr_matrix(labelled_view(spark, sf), L_FEATURES + ["label"])
-    imp = c.where(F.col("y") == F.lit("label")).where(F.col("x") != F.lit("label")) \
-           .select(F.col("x").alias("feature"), F.abs(F.col("r")).alias("importance"))  # P33
+    c = stats.corr_matrix(labelled_view(spark, sf), L_FEATURES + ["label"],
+                          pairs=[(f, "label") for f in L_FEATURES])
+    imp = c.select(F.col("x").alias("feature"), F.abs(F.col("r")).alias("importance"))  # P33
     s = ml.minmax_shade(imp, "importance")
     s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))).cast("int"))
     return round_doubles(s.select("feature", "importance", "norm", "shade", "rank"))
