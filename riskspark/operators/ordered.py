@@ -38,17 +38,20 @@ BUCKET = "_bucket"
 IDX = "_idx"
 
 
+def ntz_micros(col: Column) -> Column:
+    """Wall-clock microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any time zone."""
+    return (F.unix_date(F.to_date(col)).cast("long") * F.lit(86_400_000_000)
+            + F.hour(col).cast("long") * F.lit(3_600_000_000)
+            + F.minute(col).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), col) * F.lit(1_000_000)).cast("long"))
+
+
 def _key_expr(df: DataFrame, c: str) -> tuple[Column, T.DataType]:
     """Order-preserving, exactly representable key for a column (timestamps -> microseconds)."""
     dt = df.schema[c].dataType
     col = F.col(c)
     if isinstance(dt, T.TimestampNTZType):
-        # Wall-clock microseconds since 1970-01-01, computed without any time zone.
-        micros = (F.unix_date(F.to_date(col)).cast("long") * F.lit(86_400_000_000)
-                  + F.hour(col).cast("long") * F.lit(3_600_000_000)
-                  + F.minute(col).cast("long") * F.lit(60_000_000)
-                  + (F.date_part(F.lit("SECOND"), col) * F.lit(1_000_000)).cast("long"))
-        return micros, T.LongType()
+        return ntz_micros(col), T.LongType()
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(col), T.LongType()
     if isinstance(dt, T.DateType):

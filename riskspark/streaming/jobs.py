@@ -5,8 +5,9 @@ R2 daily_kpis_stream: tumbling daily KPIs with a watermark (append = sealed days
 R3 trend_stream: sliding 7-day mean (a time window replaces the row window, which a stream
    cannot have).
 
-Event time at rest is TIMESTAMP_NTZ; watermarks need TIMESTAMP, so it is cast under the
-session zone (UTC in our sessions - the cast keeps the wall clock).
+Event time at rest is TIMESTAMP_NTZ; watermarks need TIMESTAMP, so the wall clock is mapped
+to the instant with the same UTC reading (no session-zone dependence) and window days come
+back as DATE values.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bands import risk_band, risk_percent
+from ..operators.ordered import ntz_micros
 from ..schemas import HIGH_KPI_PERCENT
 from ..session import shared_dir
 from ..sources.sinks import append_with_fallback
@@ -40,7 +42,7 @@ def history_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = r.parquet(path)
     return ev.select(
-        F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("event_time"),
+        F.col("event_id").alias("record_id"), F.timestamp_micros(ntz_micros(F.col("ts"))).alias("event_time"),
         F.col("event_type").alias("model_used"),
         F.least(F.col("value") / F.lit(100.0), F.lit(1.0)).alias("probability"))
 
@@ -56,7 +58,7 @@ def daily_kpis(h: DataFrame, delay: str = "1 day") -> DataFrame:
                  F.count_if(band == "High").alias("high_n"),
                  F.count_if(risk_percent(p) > F.lit(HIGH_KPI_PERCENT)).alias("over_60_n"),
                  F.avg(p).alias("avg_probability"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("day"), "total", "low_n", "moderate_n",
+            .select(_utc_date(F.col("w.start")).cast("timestamp_ntz").alias("day"), "total", "low_n", "moderate_n",
                     "high_n", "over_60_n", "avg_probability"))
 
 
@@ -65,8 +67,13 @@ def trend(h: DataFrame, length: str = "7 days", slide: str = "1 day", delay: str
     return (h.withWatermark("event_time", delay)
             .groupBy(F.window("event_time", length, slide).alias("w"))
             .agg(F.avg(risk_percent("probability")).alias("mean_risk_percent"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "mean_risk_percent", "n"))
+            .select(_utc_date(F.col("w.start")).alias("window_start"),
+                    _utc_date(F.col("w.end")).alias("window_end"), "mean_risk_percent", "n"))
+
+
+def _utc_date(ts: Column) -> Column:
+    """The UTC calendar day of an instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
 
 
 def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> None:
