@@ -168,7 +168,10 @@ def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str] | No
     an arbitrary but consistent order within a bucket.
     """
     sum_cols = list(sum_cols or [])
-    b = with_range_bucket(df, order_cols, n_buckets=n_buckets, total=total)
+    if total is None:
+        total = df.count()
+    n = max(1, min(n_buckets or default_buckets(total, df.sparkSession), MAX_BUCKETS))
+    b = with_range_bucket(df, order_cols, n_buckets=n, total=total)
     keys = _key_names(order_cols)
     order = [F.col(k).asc_nulls_last() for k in keys]
     w_rows = Window.partitionBy(BUCKET).orderBy(*order)
@@ -177,6 +180,15 @@ def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str] | No
     for s in sum_cols:
         local = (local.withColumn(f"_lcum_{s}", F.coalesce(F.sum(s).over(w_run), F.lit(0)))
                  .withColumn(f"_lcnt_{s}", F.count(s).over(w_run)))
+    if n == 1 or total <= 1:
+        # One bucket: every offset is zero, no totals job needed.
+        out = local.withColumn(IDX, F.col("_lrn").cast("long"))
+        for s in sum_cols:
+            out = out.withColumn(f"_cum_{s}", F.col(f"_lcum_{s}")).withColumn(f"_cnt_{s}", F.col(f"_lcnt_{s}"))
+        drop = ["_lrn"] + [f"_{p}_{s}" for s in sum_cols for p in ("lcum", "lcnt")] + keys
+        if not keep_bucket:
+            drop.append(BUCKET)
+        return out.drop(*drop)
     # Bucket totals: one row per bucket, at most MAX_BUCKETS rows, so they are collected and
     # the exclusive offsets come back as one constant array indexed by bucket (no join on
     # the bucket column, whose derivation would otherwise be re-expanded by the optimizer).
