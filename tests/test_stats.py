@@ -81,3 +81,12 @@ def test_latest_tie_break(spark):
         .selectExpr("record_id", "cast(t as timestamp_ntz) as timestamp", "probability")
     r = stats.latest_score(df).collect()[0]
     assert r.record_id == 2 and r.risk_band == "High"
+
+
+def test_corr_stable_with_large_offset(spark):
+    xs = [1e9 + (i * 37 % 11) * 0.5 for i in range(200)]
+    ys = [2.0 * (x - 1e9) + (i % 3) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(list(zip(xs, ys)), "a double, b double")
+    r = {(x.x, x.y): x.r for x in stats.corr_matrix(df, ["a", "b"]).collect()}
+    assert r[("a", "b")] == pytest.approx(pd.Series(xs).corr(pd.Series(ys)), abs=1e-9)
+    assert r[("a", "a")] == pytest.approx(1.0)
