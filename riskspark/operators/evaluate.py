@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
 from .ordered import IDX, global_prefix, grouped_prefix
 
 
@@ -19,7 +20,7 @@ def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "predicti
                         F.col(pred_col).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     cells = df.sparkSession.createDataFrame([(a, p) for a in (0, 1) for p in (0, 1)],
                                             "actual int, predicted int")
-    return (cells.join(F.broadcast(counts), ["actual", "predicted"], "left")
+    return (cells.join(broadcast_if_small(counts), ["actual", "predicted"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
 
 

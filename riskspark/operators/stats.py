@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import risk_band, risk_band_percent, risk_percent
 from ..schemas import HIGH_KPI_PERCENT, HIST_BINS, HIST_HI, HIST_LO
+from .joins import broadcast_if_small
 from .quantiles import exact_quantiles
 
 
@@ -80,7 +81,7 @@ def histogram(df: DataFrame, value_col: str = "risk_percent", bins: int = HIST_B
     frame = (spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
              .withColumn("bin_lo", F.element_at(lo_arr, F.col("bin")))
              .withColumn("bin_hi", F.element_at(hi_arr, F.col("bin"))))
-    out = frame.join(F.broadcast(counts), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = frame.join(broadcast_if_small(counts, known_rows=bins), "bin", "left")  # <= bins rows.withColumn("n", F.coalesce("n", F.lit(0)))
     out = out.withColumn("center", (F.col("bin_lo") + F.col("bin_hi")) / F.lit(2.0))
     return out.withColumn("band", risk_band_percent("center")).orderBy("bin")
 
@@ -94,8 +95,8 @@ def box_stats(df: DataFrame, value_col: str = "risk_percent", group_col: str = "
               .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr"))
               .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr")))
     v = F.col(value_col)
-    # One row per group: the group domain is small (bands), so the fence table is broadcast.
-    joined = df.where(v.isNotNull() & ~F.isnan(v)).join(F.broadcast(fences), group_col)
+    # One row per group: broadcast only after checking how many groups there are.
+    joined = df.where(v.isNotNull() & ~F.isnan(v)).join(broadcast_if_small(fences), group_col)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     agg = joined.groupBy(group_col).agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
@@ -111,7 +112,7 @@ def outliers(df: DataFrame, id_col: str = "record_id", value_col: str = "risk_pe
     """A15 points: rows outside their group's fences."""
     fences = box_stats(df, value_col, group_col, whisker).select(group_col, "lower_fence", "upper_fence")
     v = F.col(value_col)
-    return (df.join(F.broadcast(fences), group_col)
+    return (df.join(broadcast_if_small(fences), group_col)
             .where((v < F.col("lower_fence")) | (v > F.col("upper_fence")))
             .select(id_col, group_col, value_col, "lower_fence", "upper_fence"))
 
@@ -133,7 +134,7 @@ def density(df: DataFrame, value_col: str = "chol", group_col: str = "risk_band"
     params = kde_params(df, value_col, group_col).where(F.col("bw") > 0)
     v = F.col(value_col)
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(group_col, value_col) \
-             .join(F.broadcast(params), group_col)
+             .join(broadcast_if_small(params), group_col)
     k = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
     grid = rows.select(group_col, value_col, "n", "min", "max", "bw", k)
     gx = F.col("min") + F.col("k") * (F.col("max") - F.col("min")) / F.lit(float(points - 1))

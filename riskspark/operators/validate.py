@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_MODEL, MODEL_KEYS
+from .joins import broadcast_if_small
 
 
 def choose_model(col, allowed: list[str] | None = None, default: str = DEFAULT_MODEL):
@@ -61,6 +62,6 @@ def decode(df: DataFrame, col: str, table: list[tuple], out: str, default=None,
     small list of codes (its size is bounded by the code domain), so it is broadcast."""
     spark = df.sparkSession
     lut = spark.createDataFrame(table, f"_code {key_type}, _label string")
-    joined = df.join(F.broadcast(lut), F.col(col) == F.col("_code"), "left")
+    joined = df.join(broadcast_if_small(lut, known_rows=len(table)), F.col(col) == F.col("_code"), "left")
     lab = F.coalesce(F.col("_label"), F.lit(default)) if default is not None else F.col("_label")
     return joined.withColumn(out, lab).drop("_code", "_label")

@@ -701,7 +701,8 @@ def q_score_batch(spark, sf):
         out = out.unionByName(p)
     manifest = artifact_manifest(spark, root, list(loaded)).select(
         F.col("model").alias("model_used"), F.col("sha256").alias("model_hash"))
-    return (out.join(F.broadcast(manifest), "model_used", "left")
+    from ..operators.joins import broadcast_if_small
+    return (out.join(broadcast_if_small(manifest, known_rows=len(loaded)), "model_used", "left")
             .select("vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash"))
 
 
