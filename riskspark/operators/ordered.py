@@ -64,17 +64,31 @@ def _key_expr(df: DataFrame, c: str) -> tuple[Column, T.DataType]:
     raise TypeError(f"unsupported order column type {dt} for {c}")
 
 
-def _key_names(order_cols: list[str]) -> list[str]:
-    return [f"_ok{i}" for i in range(len(order_cols))]
+def _key_specs(df: DataFrame, order_cols: list[str]) -> list[tuple[str, Column, T.DataType]]:
+    """Never-NULL sort keys for the order columns: per column a NULL flag (NULLs sort last),
+    for floating types a NaN flag (NaN sorts after numbers), then the value with NULL / NaN
+    replaced by a constant. Rows with a NULL order key are therefore still split across
+    buckets by the remaining keys instead of piling into the last bucket."""
+    specs = []
+    for i, c in enumerate(order_cols):
+        e, t = _key_expr(df, c)
+        specs.append((f"_ok{i}n", e.isNull().cast("int"), T.IntegerType()))
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            specs.append((f"_ok{i}x", F.coalesce(F.isnan(e).cast("int"), F.lit(0)), T.IntegerType()))
+            e = F.nanvl(e, F.lit(0.0).cast(t))
+        zero = F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast(t)
+        specs.append((f"_ok{i}", F.coalesce(e, zero), t))
+    return specs
+
+
+def _key_names(df: DataFrame, order_cols: list[str]) -> list[str]:
+    return [name for name, _, _ in _key_specs(df, order_cols)]
 
 
 def _with_keys(df: DataFrame, order_cols: list[str]) -> tuple[DataFrame, list[str], list[T.DataType]]:
-    names, types = _key_names(order_cols), []
-    for c, k in zip(order_cols, names):
-        e, t = _key_expr(df, c)
-        df = df.withColumn(k, e)
-        types.append(t)
-    return df, names, types
+    specs = _key_specs(df, order_cols)
+    df = df.withColumns({name: e for name, e, _ in specs})
+    return df, [n for n, _, _ in specs], [t for _, _, t in specs]
 
 
 def _array_literal(values: list, dtype: T.DataType) -> Column:
@@ -90,11 +104,11 @@ def _array_literal(values: list, dtype: T.DataType) -> Column:
 
 
 def _less_than(bounds: list[Column], j: Column, keys: list[Column]) -> Column:
-    """bound[j] < key, lexicographic over the key columns; a NULL key sorts last."""
+    """bound[j] < key, lexicographic over the (never NULL) key columns."""
     expr = None
     for b, k in zip(reversed(bounds), reversed(keys)):
         bj = F.element_at(b, j)
-        here = k.isNull() | (bj < k)
+        here = bj < k
         expr = here if expr is None else (here | ((bj == k) & expr))
     return expr
 
@@ -108,8 +122,8 @@ def default_buckets(total: int, spark=None) -> int:
 
 def with_range_bucket(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
                       total: int | None = None, seed: int = 17) -> DataFrame:
-    """Add order keys ``_ok0..`` and ``_bucket``: contiguous ranges of the ascending
-    composite order key (NULLs last), placed by sampled boundaries.
+    """Add order keys ``_ok..`` and ``_bucket``: contiguous ranges of the ascending
+    composite order key (NULLs last, NaN after numbers), placed by sampled boundaries.
 
     The bucket is found by an unrolled binary search over one array literal of boundary
     keys: log2(n) small projections per row, all inside whole-stage codegen.
@@ -122,13 +136,7 @@ def with_range_bucket(df: DataFrame, order_cols: list[str], n_buckets: int | Non
     if n == 1 or total <= 1:
         return df.withColumn(BUCKET, F.lit(0))
     frac = min(1.0, min(n * OVERSAMPLE, SAMPLE_CAP) / float(total))
-    ok = F.lit(True)
-    for k, t in zip(keys, types):
-        ok = ok & F.col(k).isNotNull()
-        if isinstance(t, (T.FloatType, T.DoubleType)):
-            ok = ok & ~F.isnan(F.col(k))
-    sample = (df.select(*keys).where(ok)
-              .sample(withReplacement=False, fraction=frac, seed=seed))
+    sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=seed)
     # The sample is bounded (at most SAMPLE_CAP rows in expectation): one ordered task is fine.
     order = [F.col(k).asc() for k in keys]
     rn = F.row_number().over(Window.orderBy(*order))
@@ -172,8 +180,8 @@ def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str] | No
         total = df.count()
     n = max(1, min(n_buckets or default_buckets(total, df.sparkSession), MAX_BUCKETS))
     b = with_range_bucket(df, order_cols, n_buckets=n, total=total)
-    keys = _key_names(order_cols)
-    order = [F.col(k).asc_nulls_last() for k in keys]
+    keys = _key_names(df, order_cols)
+    order = [F.col(k).asc() for k in keys]
     w_rows = Window.partitionBy(BUCKET).orderBy(*order)
     w_run = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.withColumn("_lrn", F.row_number().over(w_rows))

@@ -45,3 +45,14 @@ def test_no_single_partition_exchange(spark):
         ._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_null_order_keys_sort_last_and_spread(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t double")
+    b = ordered.with_range_bucket(df, ["t", "id"], n_buckets=16)
+    sizes = [r[1] for r in b.groupBy("_bucket").count().collect()]
+    assert max(sizes) < 1000 / 2  # the 1,000 NULL-key rows are split too
+    idx = ordered.global_row_index(df, ["t", "id"], n_buckets=16).toPandas().sort_values("row_index")
+    want = pd.DataFrame(rows, columns=["id", "t"]).sort_values(["t", "id"], na_position="last").id.tolist()
+    assert idx.id.tolist() == want
