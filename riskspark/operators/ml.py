@@ -93,6 +93,8 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     Returns the comparison frame (model, position, accuracy, precision, recall, f1_score,
     roc_auc), the fitted pipelines and the best model's name.
     """
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)  # checkpoint folder for the ensembles' periodic lineage cuts
     data = deterministic_split(df.withColumn(label_col, F.col(label_col).cast("double")),
                                test_fraction, seed, key_cols=key_cols or [*feature_cols, label_col])
     train = data.where(F.col("split") == "train")

@@ -9,25 +9,33 @@ from pyspark.sql import functions as F
 
 
 def append_history(df: DataFrame, path: str, fmt: str = "parquet", options: dict | None = None,
-                   ts_col: str = "timestamp") -> None:
+                   ts_col: str = "timestamp", batch_id: int | None = None) -> None:
     """K1/K2: append new records only (O(new rows), no read-modify-write), partitioned by the
-    score date so later scans prune by day."""
+    score date so later scans prune by day.
+
+    With ``batch_id`` (a streaming micro-batch) the rows go to ``path/batch_id=<id>`` in
+    overwrite mode, so a batch replayed after a failure replaces its own output instead of
+    appending duplicates; reading ``path`` discovers ``batch_id`` as a partition column."""
     out = df.withColumn("score_date", F.to_date(F.col(ts_col))) if ts_col in df.columns else df
-    w = out.write.mode("append").format(fmt).options(**(options or {}))
+    if batch_id is not None:
+        out = out.drop("batch_id")
+        path = f"{path.rstrip('/')}/batch_id={int(batch_id)}"
+    w = out.write.mode("append" if batch_id is None else "overwrite").format(fmt).options(**(options or {}))
     if "score_date" in out.columns:
         w = w.partitionBy("score_date")
     w.save(path)
 
 
-def append_with_fallback(df: DataFrame, primary: dict, fallback: dict) -> str:
+def append_with_fallback(df: DataFrame, primary: dict, fallback: dict, batch_id: int | None = None) -> str:
     """K3: write to the primary sink; on failure write the same rows to the fallback sink.
     Returns the sink that stored them (``primary`` / ``fallback``). Each sink is a dict of
-    ``append_history`` arguments (path, fmt, options)."""
+    ``append_history`` arguments (path, fmt, options); ``batch_id`` makes the write
+    idempotent per streaming micro-batch."""
     try:
-        append_history(df, **primary)
+        append_history(df, **primary, batch_id=batch_id)
         return "primary"
     except Exception:  # noqa: BLE001 - any primary failure falls back, as the service does
-        append_history(df, **fallback)
+        append_history(df, **fallback, batch_id=batch_id)
         return "fallback"
 
 

@@ -97,8 +97,9 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
                  primary: dict, fallback: dict, checkpoint: str, model_col: str = "model",
                  default_model: str = "random_forest"):
     """Each micro-batch is split by chosen model (P24), scored with that model's pipeline
-    and appended with failover (K3). ``foreachBatch`` with the batch id keeps the sink write
-    per batch; the checkpoint makes restarts resume after the last committed batch."""
+    and written with failover (K3). The write goes to the batch's own ``batch_id=<id>``
+    directory in overwrite mode, so a batch replayed after a failure does not duplicate rows;
+    the checkpoint makes restarts resume after the last committed batch."""
     from ..operators.ml import score
 
     allowed = list(models)
@@ -110,8 +111,8 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
         scored = parts[0]
         for p in parts[1:]:
             scored = scored.unionByName(p)
-        scored = scored.withColumn("timestamp", F.localtimestamp()).withColumn("batch_id", F.lit(batch_id))
-        append_with_fallback(scored, primary, fallback)
+        scored = scored.withColumn("timestamp", F.localtimestamp())
+        append_with_fallback(scored, primary, fallback, batch_id=batch_id)
 
     stream = spark.readStream.schema(schema).json(requests_path)
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

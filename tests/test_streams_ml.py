@@ -73,6 +73,15 @@ def test_score_stream_with_failover(spark):
                           f"{root}/ck")
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/fallback")
-    assert out.count() == 200
+    assert out.count() == 200 and "batch_id" in out.columns
     assert {r.model_used for r in out.select("model_used").distinct().collect()} == {"logistic_regression",
                                                                                      "random_forest"}
+
+
+def test_batch_write_is_idempotent(spark):
+    from riskspark.sources import sinks
+    root = shared_dir(spark, f"ib-{uuid.uuid4().hex}")
+    df = spark.createDataFrame([(1, 0.5), (2, 0.7)], "record_id long, probability double")
+    for _ in range(2):  # the same micro-batch delivered twice
+        sinks.append_with_fallback(df, {"path": f"{root}/p"}, {"path": f"{root}/f"}, batch_id=3)
+    assert spark.read.parquet(f"{root}/p").count() == 2
