@@ -243,20 +243,32 @@ def rolling_mean(df: DataFrame, value_col: str, order_cols: list[str], window: i
 
     ``window`` defaults to ``max(1, total // divisor)``. NULL values are skipped (mean of the
     non-NULL values in the frame; NULL when the frame has none), as a pandas rolling mean.
-    Uses prefix sums: mean(i) = (S(i) - S(i-w)) / (C(i) - C(i-w)), where the value at
-    ``i - w`` comes from an equi-join on the global index.
+    Uses prefix sums: mean(i) = (S(i) - S(i-w)) / (C(i) - C(i-w)). Each row emits its own
+    prefix under key ``i`` and a copy under key ``i + w``; one ``groupBy`` on the key (at most
+    two rows per key, so no skew) pairs them. The windowed prefix is computed once and only
+    one shuffle is added, instead of a self-join that shuffles both sides.
     """
     total = df.count()
     w = window if window is not None else max(1, total // divisor)
     idx = global_prefix(df, order_cols, [value_col], n_buckets=n_buckets, total=total)
     cum, cnt = f"_cum_{value_col}", f"_cnt_{value_col}"
-    prev = idx.select((F.col(IDX) + F.lit(w)).alias(IDX), F.col(cum).alias("_pcum"),
-                      F.col(cnt).alias("_pcnt"))
-    out = idx.join(prev, IDX, "left")
-    mean = F.try_divide(F.col(cum) - F.coalesce(F.col("_pcum"), F.lit(0.0)),
-                        (F.col(cnt) - F.coalesce(F.col("_pcnt"), F.lit(0))).cast("double"))
-    return (out.withColumn(name, mean).withColumn("window_rows", F.lit(w))
-            .withColumnRenamed(IDX, "row_index").drop(cum, cnt, "_pcum", "_pcnt"))
+    payload = [c for c in idx.columns if c not in (IDX, cum, cnt)]
+    row_type = idx.select(F.struct(*payload)).schema[0].dataType
+    cur = F.struct(F.lit(0).alias("_tag"), F.col(IDX).alias("_key"), F.col(cum).alias("_s"),
+                   F.col(cnt).alias("_c"), F.struct(*payload).alias("_row"))
+    nxt = F.struct(F.lit(1).alias("_tag"), (F.col(IDX) + F.lit(w)).alias("_key"), F.col(cum).alias("_s"),
+                   F.col(cnt).alias("_c"), F.lit(None).cast(row_type).alias("_row"))
+    both = idx.select(F.explode(F.array(cur, nxt)).alias("e")).select("e.*")
+    is_cur, is_prev = F.col("_tag") == 0, F.col("_tag") == 1
+    g = (both.groupBy("_key")
+         .agg(F.max(is_cur.cast("int")).alias("_has"),
+              F.first(F.when(is_cur, F.col("_row")), ignorenulls=True).alias("_row"),
+              F.sum(F.when(is_cur, F.col("_s"))).alias("_s"), F.sum(F.when(is_cur, F.col("_c"))).alias("_c"),
+              F.sum(F.when(is_prev, F.col("_s"))).alias("_ps"), F.sum(F.when(is_prev, F.col("_c"))).alias("_pc"))
+         .where(F.col("_has") == 1))
+    mean = F.try_divide(F.col("_s") - F.coalesce(F.col("_ps"), F.lit(0)),
+                        (F.col("_c") - F.coalesce(F.col("_pc"), F.lit(0))).cast("double"))
+    return g.select(F.col("_key").alias("row_index"), "_row.*", mean.alias(name), F.lit(w).alias("window_rows"))
 
 
 def grouped_prefix(df: DataFrame, group_cols: list[str], order_cols: list[str],
