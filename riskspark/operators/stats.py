@@ -87,16 +87,19 @@ def histogram(df: DataFrame, value_col: str = "risk_percent", bins: int = HIST_B
 
 
 def box_stats(df: DataFrame, value_col: str = "risk_percent", group_col: str = "risk_band",
-              whisker: float = 1.5) -> DataFrame:
+              whisker: float = 1.5, max_groups: int | None = None) -> DataFrame:
     """Per group quartiles (linear), IQR fences, whisker ends (extreme points inside
-    the fences), mean, sample sd, min, max and outlier count."""
+    the fences), mean, sample sd, min, max and outlier count. ``max_groups`` is a bound on
+    the number of groups known by construction (three bands); without it the size of the
+    per-group table is checked before it is broadcast."""
     q = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], group_cols=[group_col])
     fences = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
               .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr"))
               .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr")))
     v = F.col(value_col)
     # One row per group: broadcast only after checking how many groups there are.
-    joined = df.where(v.isNotNull() & ~F.isnan(v)).join(broadcast_if_small(fences), group_col)
+    joined = df.where(v.isNotNull() & ~F.isnan(v)).join(broadcast_if_small(fences, known_rows=max_groups),
+                                                        group_col)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     agg = joined.groupBy(group_col).agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
@@ -108,33 +111,33 @@ def box_stats(df: DataFrame, value_col: str = "risk_percent", group_col: str = "
 
 
 def outliers(df: DataFrame, id_col: str = "record_id", value_col: str = "risk_percent",
-             group_col: str = "risk_band", whisker: float = 1.5) -> DataFrame:
+             group_col: str = "risk_band", whisker: float = 1.5, max_groups: int | None = None) -> DataFrame:
     """A15 points: rows outside their group's fences."""
-    fences = box_stats(df, value_col, group_col, whisker).select(group_col, "lower_fence", "upper_fence")
+    fences = box_stats(df, value_col, group_col, whisker, max_groups).select(group_col, "lower_fence", "upper_fence")
     v = F.col(value_col)
-    return (df.join(broadcast_if_small(fences), group_col)
+    return (df.join(broadcast_if_small(fences, known_rows=max_groups), group_col)
             .where((v < F.col("lower_fence")) | (v > F.col("upper_fence")))
             .select(id_col, group_col, value_col, "lower_fence", "upper_fence"))
 
 
-def kde_params(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
+def kde_params(df: DataFrame, value_col: str, group_col: str, max_groups: int | None = None) -> DataFrame:
     """Per group: n, min, max and Silverman's bandwidth 0.9 * min(sd, iqr / 1.349) * n^-0.2
     (sd alone when the IQR is 0)."""
-    bs = box_stats(df, value_col, group_col)
+    bs = box_stats(df, value_col, group_col, max_groups=max_groups)
     spread = F.when(F.col("iqr") > 0, F.least(F.col("sd"), F.col("iqr") / F.lit(1.349))).otherwise(F.col("sd"))
     return bs.select(group_col, "n", "min", "max",
                      (F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
 
 
 def density(df: DataFrame, value_col: str = "chol", group_col: str = "risk_band",
-            points: int = 50) -> DataFrame:
+            points: int = 50, max_groups: int | None = None) -> DataFrame:
     """A15 violin body: Gaussian kernel density on ``points`` equally spaced values between
     the group's min and max. Each row adds its kernel at every grid point; the sums are
     pre-aggregated map-side, so only groups x points rows are shuffled."""
-    params = kde_params(df, value_col, group_col).where(F.col("bw") > 0)
+    params = kde_params(df, value_col, group_col, max_groups).where(F.col("bw") > 0)
     v = F.col(value_col)
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(group_col, value_col) \
-             .join(broadcast_if_small(params), group_col)
+             .join(broadcast_if_small(params, known_rows=max_groups), group_col)
     k = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
     grid = rows.select(group_col, value_col, "n", "min", "max", "bw", k)
     gx = F.col("min") + F.col("k") * (F.col("max") - F.col("min")) / F.lit(float(points - 1))

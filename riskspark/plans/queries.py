@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band_sql, confidence, guidance, risk_band, risk_percent
 from ..functions.text import display_time, iso_text, key_to_display, parse_iso
 from ..operators import clean, evaluate, history, ordered, stats, validate
-from ..schemas import (BAND_GUIDANCE, CLASS_NAMES, DEFAULT_MODEL, DEFAULT_MODEL_COLOR, MODEL_COLORS,
+from ..schemas import (BAND_GUIDANCE, BAND_NAMES, CLASS_NAMES, DEFAULT_MODEL, DEFAULT_MODEL_COLOR, MODEL_COLORS,
                        MODEL_KEYS, ROLLING_DIVISOR, UNKNOWN_MODEL)
 from ..sources.tables import (HISTORY_SQL, L_FEATURES, LABELLED_SQL, history_view, labelled_view,
                               read_table)
@@ -133,7 +133,8 @@ SELECT f.risk_band, f.n, round(a.min, 6) AS min, round(q1, 6) AS q1, round(media
   n_outliers, round(mean, 6) AS mean, round(sd, 6) AS sd
 FROM f JOIN a ON f.risk_band = a.risk_band""")
 def q_band_box_stats(spark, sf):
-    return round_doubles(stats.box_stats(hist_h(spark, sf), "risk_percent", "risk_band"))
+    return round_doubles(stats.box_stats(hist_h(spark, sf), "risk_percent", "risk_band",
+                                         max_groups=len(BAND_NAMES)))
 
 
 @register("band_outliers", _BOX_SQL + f"""
@@ -142,7 +143,8 @@ SELECT h.record_id, h.risk_band, round(h.risk_percent, 6) AS risk_percent,
 FROM {HS} h JOIN f ON h.risk_band = f.risk_band
 WHERE h.risk_percent < lower_fence OR h.risk_percent > upper_fence""")
 def q_band_outliers(spark, sf):
-    return round_doubles(stats.outliers(hist_h(spark, sf), "record_id", "risk_percent", "risk_band"))
+    return round_doubles(stats.outliers(hist_h(spark, sf), "record_id", "risk_percent", "risk_band",
+                                        max_groups=len(BAND_NAMES)))
 
 
 @register("band_density", _BOX_SQL + f""",
@@ -155,7 +157,8 @@ SELECT g.risk_band, g.k, round(g.x, 6) AS x,
   round(sum(exp(-0.5 * ((g.x - h.risk_percent) / bw) * ((g.x - h.risk_percent) / bw)) / (bw * sqrt(2 * pi()))) / max(g.n), 6) AS density
 FROM g JOIN {HS} h ON g.risk_band = h.risk_band GROUP BY g.risk_band, g.k, g.x""")
 def q_band_density(spark, sf):
-    return round_doubles(stats.density(hist_h(spark, sf), "risk_percent", "risk_band", 50))
+    return round_doubles(stats.density(hist_h(spark, sf), "risk_percent", "risk_band", 50,
+                                       max_groups=len(BAND_NAMES)))
 
 
 @register("trend_fit", f"""
