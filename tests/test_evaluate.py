@@ -49,3 +49,13 @@ def test_best_model_first_wins_ties(spark):
     assert evaluate.best_model(cmp).collect()[0].model == "B"
     r = evaluate.rank_models(cmp.drop("position"), "roc_auc").orderBy("rank").collect()
     assert [x.model for x in r] == ["C", "A", "B"] and r[0].pct_of_max == 100.0
+
+
+def test_roc_partition_invariant_on_table(spark):
+    from riskspark.sources.tables import labelled_view
+    from .conftest import SF
+    l = labelled_view(spark, SF)
+    aucs = [evaluate.roc_auc(l, "score", "label", n_buckets=nb).collect()[0].roc_auc for nb in (1, 3, 16)]
+    assert aucs[0] == pytest.approx(aucs[1]) and aucs[0] == pytest.approx(aucs[2])
+    pts = [sorted((r.point, r.fpr, r.tpr) for r in evaluate.roc_points(l, n_buckets=nb).collect()) for nb in (1, 16)]
+    assert pts[0] == pts[1]

@@ -90,3 +90,13 @@ def test_corr_stable_with_large_offset(spark):
     r = {(x.x, x.y): x.r for x in stats.corr_matrix(df, ["a", "b"]).collect()}
     assert r[("a", "b")] == pytest.approx(pd.Series(xs).corr(pd.Series(ys)), abs=1e-9)
     assert r[("a", "a")] == pytest.approx(1.0)
+
+
+def test_summary_partition_invariant_on_table(spark):
+    from riskspark.sources.tables import history_view
+    from .conftest import SF
+    h = stats.scored(history_view(spark, SF))
+    s = h.select("risk_percent").toPandas().risk_percent
+    for nb in (1, 3, 16):
+        q = exact_quantiles(h, "risk_percent", [0.25, 0.5, 0.75], n_buckets=nb).collect()[0]
+        assert (q.q25, q.q50, q.q75) == pytest.approx((s.quantile(0.25), s.median(), s.quantile(0.75)))
