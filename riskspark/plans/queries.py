@@ -636,6 +636,17 @@ def q_stream_daily_kpis(spark, sf):
     return round_doubles(stream_daily_kpis(spark, sf, glob="events.parquet"))
 
 
+@register("stream_trend", """
+WITH h AS (SELECT ts, least(value / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) * CAST(100 AS DOUBLE) AS rp FROM events),
+e AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS ws, rp FROM h, range(0, 7) t(k)),
+g AS (SELECT ws AS window_start, ws + INTERVAL 7 DAY AS window_end, round(avg(rp), 6) AS mean_risk_percent,
+    CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ws)
+SELECT * FROM g WHERE window_end + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
+def q_stream_trend(spark, sf):
+    from ..streaming.jobs import stream_trend
+    return round_doubles(stream_trend(spark, sf, glob="events.parquet"))
+
+
 # --------------------------------------------------------------------------- ML (rows-only)
 
 _TRAINED: dict = {}

@@ -67,8 +67,8 @@ def trend(h: DataFrame, length: str = "7 days", slide: str = "1 day", delay: str
     return (h.withWatermark("event_time", delay)
             .groupBy(F.window("event_time", length, slide).alias("w"))
             .agg(F.avg(risk_percent("probability")).alias("mean_risk_percent"), F.count(F.lit(1)).alias("n"))
-            .select(_utc_date(F.col("w.start")).alias("window_start"),
-                    _utc_date(F.col("w.end")).alias("window_end"), "mean_risk_percent", "n"))
+            .select(_utc_date(F.col("w.start")).cast("timestamp_ntz").alias("window_start"),
+                    _utc_date(F.col("w.end")).cast("timestamp_ntz").alias("window_end"), "mean_risk_percent", "n"))
 
 
 def _utc_date(ts: Column) -> Column:
@@ -93,6 +93,15 @@ def stream_daily_kpis(spark: SparkSession, events_dir: str, glob: str | None = N
     return spark.read.parquet(out)
 
 
+def stream_trend(spark: SparkSession, events_dir: str, glob: str | None = None,
+                 out_root: str | None = None) -> DataFrame:
+    """R3 end to end: sealed sliding 7-day windows written to a table and read back."""
+    root = out_root or shared_dir(spark, f"riskspark-trend-{uuid.uuid4().hex}")
+    out, ckpt = f"{root}/trend", f"{root}/_checkpoint"
+    run_to_table(trend(history_stream(spark, events_dir, glob=glob)), out, ckpt)
+    return spark.read.parquet(out)
+
+
 def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType, models: dict[str, PipelineModel],
                  primary: dict, fallback: dict, checkpoint: str, model_col: str = "model",
                  default_model: str = "random_forest"):

@@ -28,7 +28,7 @@ def test_trend_stream_matches_batch(spark):
     assert out.count() > 0
     w = out.orderBy("window_start").first()
     h = history_view(spark, SF)
-    lo, hi = w.window_start.isoformat(), w.window_end.isoformat()
+    lo, hi = w.window_start.date().isoformat(), w.window_end.date().isoformat()
     batch = h.where((F.to_date("timestamp") >= F.lit(lo)) & (F.to_date("timestamp") < F.lit(hi))) \
              .agg(F.avg(F.col("probability") * 100).alias("m"), F.count(F.lit(1)).alias("n")).first()
     assert w.n == batch.n and w.mean_risk_percent == pytest.approx(batch.m)
