@@ -69,3 +69,17 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], names: li
                                                / (nn - F.lit(1.0))))))
     cols = [*group_cols, "n", *names] + (["min", "max", "mean", "sd"] if moments else [])
     return out.select(*cols)
+
+
+def approx_quantiles(df: DataFrame, value_col: str, probs: list[float], names: list[str] | None = None,
+                     group_cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """A7, large-scale option: ``percentile_approx`` (a mergeable sketch of bounded size per
+    group, relative rank error about 1 / accuracy). Values are sample points, not
+    interpolated, so they differ from the exact linear quantiles by at most that rank error."""
+    group_cols = list(group_cols or [])
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    v = F.col(value_col)
+    est = F.percentile_approx(v, [float(p) for p in probs], accuracy)
+    out = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"), est.alias("_q"))
+    return out.select(*group_cols, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])

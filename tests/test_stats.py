@@ -100,3 +100,13 @@ def test_summary_partition_invariant_on_table(spark):
     for nb in (1, 3, 16):
         q = exact_quantiles(h, "risk_percent", [0.25, 0.5, 0.75], n_buckets=nb).collect()[0]
         assert (q.q25, q.q50, q.q75) == pytest.approx((s.quantile(0.25), s.median(), s.quantile(0.75)))
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from riskspark.operators.quantiles import approx_quantiles
+    vals = [float((i * 7919) % 1000) for i in range(5000)]
+    df = _df(spark, vals)
+    a = approx_quantiles(df, "x", [0.25, 0.5, 0.75]).collect()[0]
+    s = pd.Series(vals)
+    for got, p in ((a.q25, 0.25), (a.q50, 0.5), (a.q75, 0.75)):
+        assert abs(got - s.quantile(p)) <= 2.0
