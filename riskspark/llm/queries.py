@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, packing, pii, tokenfiles
+from . import ann, chat, decontam, language, packing, pii, tokenfiles, toxicity
 
 Q = {
+    "op2_language": language.op2_language,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_pack": packing.op6_pack,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat_format": chat.op8_chat_format,
     "op9_pii": pii.op9_pii,
+    "op10_nearest": ann.op10_nearest,
 }
 SQL = {
     "op5_decontaminate": decontam.OP5_SQL,

@@ -7,16 +7,28 @@ then independent of its neighbours, so joined chunks equal the encoding of the w
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Chunks whose ids a worker remembers; the cache is emptied when it is full.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 1_400_000
 
-_BESIDE_SPACE = re.compile(r" \s|\s |\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD_SPACE = re.compile(r"[^\S \n]")
+#: A Latin word and the marks behind it: the pre-tokenizer makes these one and at most one piece.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it prints, else 256 and up."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
 class ChunkEncoder:
@@ -28,49 +40,83 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.piece = self.tok.model.tokenize
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(True) <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words = words
+        self.letters = _byte_letters()
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if words else {}
-        self.lead = "" if words else " "
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _packed(self, ids) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token (Latin letters or marks, and a space before)."""
+        if self.words:
+            piece = piece.lower()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        elif piece[0] == " ":
+            piece = self.letters[32] + piece[1:]
+        return self._packed([t.id for t in self.piece(piece)])
 
     def _learn(self, known: dict, chunks: set, lead: str) -> None:
-        new = list(chunks - known.keys())
-        if len(known) + len(new) > CACHED_CHUNKS:
-            known.clear()
-            new = list(chunks)
-        got = self.tok.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
-        known.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(new, got))
+        rest = []
+        for c in chunks:
+            m = _WORD.match(c)
+            if m is None:
+                rest.append(c)
+                continue
+            word, marks = m.groups()
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._piece(lead + word)
+            if marks:
+                tail = self.marks.get(marks)
+                if tail is None:
+                    tail = self.marks[marks] = self._piece(marks)
+                known[c] = ids + tail
+        if rest:
+            got = self.tok.encode_batch_fast([lead + c for c in rest], add_special_tokens=False)
+            known.update((c, self._packed(e.ids)) for c, e in zip(rest, got))
 
     def _chunks(self, text: str) -> list[str]:
-        if self.words or not _BESIDE_SPACE.search(text):
-            return text.split(" ")
+        parts = text.split(" ")
+        if self.words or not ("" in parts or " \n" in text or "\n " in text or _ODD_SPACE.search(text)):
+            return parts
         return _CUT.split(text)
 
+    def _joined(self, known: dict, chunks: list[str], lead: str) -> bytes:
+        ids = list(map(known.get, chunks))
+        if None in ids:
+            if len(known) > CACHED_CHUNKS:
+                known.clear()
+                self._learn(known, set(chunks), lead)
+            else:
+                self._learn(known, {c for c, x in zip(chunks, ids) if x is None}, lead)
+            ids = map(known.__getitem__, chunks)
+        return b"".join(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, todo, size = [], [], 0
-        for t in texts:
-            todo.append(self._chunks(t))
-            size += len(todo[-1])
-            if size >= CACHED_CHUNKS // 4:
-                out += self._encode(todo)
-                todo, size = [], 0
-        return out + self._encode(todo)
-
-    def _encode(self, docs: list[list[str]]) -> list[bytes]:
-        if not docs:
-            return []
-        first, later = set(), set()
-        for d in docs:
-            first.add(d[0])
-            later.update(d[1:])
-        if self.words:
-            first |= later
-        else:
-            self._learn(self.later, later, " ")
-        self._learn(self.first, first, "")
-        at, then = self.first.__getitem__, self.later.__getitem__
-        return [at(d[0]) + b"".join(map(then, d[1:])) for d in docs]
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived lists, no cycles
+        try:
+            out = []
+            for t in texts:
+                chunks = self._chunks(t)
+                if self.words:
+                    out.append(self._joined(self.first, chunks, ""))
+                else:
+                    out.append(self._joined(self.first, chunks[:1], "") + self._joined(self.later, chunks[1:], " "))
+            return out
+        finally:
+            if collecting:
+                gc.enable()
 
 
 _ENCODERS: dict = {}
