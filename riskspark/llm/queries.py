@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, language, packing, pii, tokenfiles, toxicity
+from . import ann, chat, decontam, jaccard, language, packing, pii, tokenfiles, toxicity
 
 Q = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_language": language.op2_language,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_decontaminate": decontam.op5_decontaminate,
@@ -15,6 +16,7 @@ Q = {
     "op10_nearest": ann.op10_nearest,
 }
 SQL = {
+    "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

@@ -223,6 +223,11 @@ def known_places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, len(vocabulary))
 
 
+def _scattered(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows summed by their place."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], axis=1).astype(np.float32)
+
+
 def train(texts: list[str], labels: np.ndarray) -> dict:
     """The model: network, vocabulary, and the scale that turns a largest logit into a score."""
     labels = np.asarray(labels, np.float32)
@@ -263,17 +268,14 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
             tri = np.concatenate([by_word[w] for w in real]) if len(real) else np.zeros(0, np.int64)
             lens = sizes[real]
             own = np.repeat(np.arange(len(real)), lens)
-            np.add.at(x[:, WORD_DIM:], own, m["tri"][tri])
-            x[:len(real), WORD_DIM:] /= lens[:, None]
+            if len(real):
+                x[:len(real), WORD_DIM:] = np.add.reduceat(m["tri"][tri], np.cumsum(lens) - lens, axis=0) / lens[:, None]
             hide = (g.random((len(u), 2)) >= HIDE).astype(np.float32)
             hide = np.repeat(hide, [WORD_DIM, CHAR_DIM], axis=1)
             _, grad, dx = gradients(m, (x * hide)[inv], mask, labels[t.doc[batch]])
-            du = np.zeros_like(x)
-            np.add.at(du, inv.reshape(-1), dx.reshape(-1, dx.shape[2]))
-            du *= hide
-            grad["word"], grad["tri"] = DECAY * m["word"], DECAY * m["tri"]
-            np.add.at(grad["word"], known, du[:len(real), :WORD_DIM])
-            np.add.at(grad["tri"], tri, (du[:len(real), WORD_DIM:] / lens[:, None])[own])
+            du = _scattered(len(u), inv.reshape(-1), dx.reshape(-1, dx.shape[2])) * hide
+            grad["word"] = DECAY * m["word"] + _scattered(len(m["word"]), known, du[:len(real), :WORD_DIM])
+            grad["tri"] = DECAY * m["tri"] + _scattered(GRAMS, tri, (du[:len(real), WORD_DIM:] / lens[:, None])[own])
             step += 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.99 ** step) / (1 - 0.9 ** step)
             for k in m:
