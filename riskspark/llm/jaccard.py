@@ -4,8 +4,8 @@ A text's set is its distinct 5-word shingles as 64-bit hashes; texts of equal se
 (a 64-bit digest of the set). Two nodes link when 100 * intersection >= 75 * union.
 
 1. *Groups.* Bands of bin minima of the sets bring similar nodes together; a node is checked, set
-   against set, with the smallest node of its bands only, so thousands of near copies cost a check
-   or two each. The components of these links are the groups; a group's own pairs need no further
+   against set, with the most central node of each band only (the one that meets most others over
+   all its bands), so thousands of near copies cost a few checks each. The components of these links are the groups; a group's own pairs need no further
    check, since all its nodes are connected already.
 2. *Matrix.* What is left are links between groups. The smallest hashes of each set (enough that
    two linked sets share a known number of them) are dealt by hash range, and tokens that only one
@@ -13,8 +13,8 @@ A text's set is its distinct 5-word shingles as 64-bit hashes; texts of equal se
    done; that ends the search for all but a few.
 3. *Bound and open.* For the nodes left, the matrix holds each group's token union. A node's rarest
    shared tokens give its candidate groups, its overlap with the union of each is counted, and only
-   groups where the overlap reaches 75 % of the node's set are opened: their nodes of fitting size
-   are checked set against set.
+   groups where the overlap is enough for a link are opened: their nodes of fitting size are
+   checked set against set. Each link is sought from its smaller set, of which it shares 6/7.
 4. *Components* of all links by smallest labels and pointer jumps, each round a written table.
 
 No step drops, caps or samples: steps 1 and 3 only order the work, and 2 is a proven bound.
@@ -242,8 +242,15 @@ def _between_groups(tokens: DataFrame) -> DataFrame:
 
 
 def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups to be checked; tokens (token, node, g, n) are whole sets."""
+    """Pairs (a, b) of nodes of different groups to be checked; tokens (token, node, g, n) are whole sets.
+
+    Of two linked sets of n <= m elements at least 75/175 * (n + m) are shared. With s tokens in
+    other groups, a set of n can therefore only link to sets of at most ``cap`` = s * 175/75 - n;
+    and the smaller set of a link shares at least 6/7 of itself. Every link is sought from its
+    smaller set.
+    """
     need = F.ceil(F.col("n") * SHARE / NUMBER)
+    need_small = F.ceil(F.col("n") * 2 * SHARE / (NUMBER + SHARE))
     for i in range(3):  # tokens that only one group holds bind nothing; nodes with too few others fall out
         shared = _between_groups(tokens)
         enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).where(
@@ -251,19 +258,26 @@ def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
         tokens = stage.write(shared.join(enough, "node").select("token", "node", "g", "n", "s"), f"shared-{i}")
         if i < 2:
             tokens = tokens.drop("s")
+    tokens = tokens.withColumn("cap", F.floor(F.col("s") * (NUMBER + SHARE) / SHARE) - F.col("n"))
     rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rare"))
     ranked = tokens.join(rarity, "token").withColumn(
         "at", F.row_number().over(Window.partitionBy("node").orderBy("rare", "token")))
     # tokens of one group come first in the order: n - s of the prefix are such
-    prefix = stage.write(ranked.where(F.col("at") <= F.col("s") - need + 1).select("token", "node", "g", "n"), "prefix")
-    matrix = prefix.select("token", F.col("g").alias("other")).distinct()
-    candidates = prefix.join(matrix, "token").where("g <> other").select("node", "other").distinct()
+    prefix = stage.write(ranked.where(F.col("at") <= F.col("s") - need + 1), "prefix")
+    matrix = prefix.groupBy("token", F.col("g").alias("other")).agg(
+        F.max("cap").alias("most"), F.max("n").alias("largest"))
+    asked = prefix.where((F.col("cap") >= F.col("n")) & (F.col("at") <= F.col("s") - need_small + 1))
+    fits = (F.col("g") != F.col("other")) & (F.col("n") <= F.col("most")) & (F.col("n") <= F.col("largest"))
+    candidates = asked.select("token", "node", "g", "n").join(matrix, "token").where(fits).select("node", "other").distinct()
     union = tokens.select("token", F.col("g").alias("other")).distinct()
-    overlap = candidates.join(tokens.select("node", "token", "n"), "node").join(union, ["token", "other"]).groupBy(
-        "node", "other").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    opened = stage.write(overlap.where(F.col("m") >= need).select("node", "other", "n"), "opened")
-    members = tokens.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    fit = (F.lit(NUMBER) * F.least("n", "nb") >= F.lit(SHARE) * F.greatest("n", "nb"))
+    overlap = candidates.join(tokens.select("node", "token", "n", "cap"), "node").join(union, ["token", "other"]).groupBy(
+        "node", "other").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("cap").alias("cap"))
+    opened = stage.write(overlap.where(F.col("m") >= need_small), "opened")
+    members = tokens.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"),
+                            F.col("cap").alias("capb")).distinct()
+    fit = (F.col("n") <= F.col("nb")) & (F.lit(NUMBER) * F.col("n") >= F.lit(SHARE) * F.col("nb")) & (
+        F.col("nb") <= F.col("cap")) & (F.col("n") <= F.col("capb")) & (
+        F.col("m") * (NUMBER + SHARE) >= (F.col("n") + F.col("nb")) * SHARE)
     return opened.join(members, "other").where(fit).select(
         F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
@@ -279,14 +293,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = stage.write(document_sets(docs), "sets")
 
     bands = sets.where("node is not null").select("node", "n", F.explode("bands").alias("band"))
-    first = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("f"), F.max("node").alias("hi"))
-    first = first.where(F.col("f.node") < F.col("hi")).select("band", F.col("f.node").alias("b"), F.col("f.n").alias("nb"))
-    near = bands.join(first, "band").where(
+    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
+    met = stage.write(bands.join(shared.where("lo < hi").select("band", "size"), "band").distinct(), "met")
+    # The original of many copies meets more of them, in more bands, than any copy does.
+    central = met.groupBy("node").agg(F.sum("size").alias("central"))
+    first = met.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "node", "n")).alias("f")).select(
+        "band", F.col("f.node").alias("b"), F.col("f.n").alias("nb"))
+    near = met.join(first, "band").where(
         (F.col("node") != F.col("b")) & (F.lit(NUMBER) * F.least("n", "nb") >= F.lit(SHARE) * F.greatest("n", "nb")))
     pairs = stage.write(near.select(F.col("node").alias("a"), "b").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     links = stage.write(checked(pairs, stage.write(texts_of(docs, sets, nodes), "texts-1")), "links-1")
-    stage.drop("texts-1", "pairs")
+    stage.drop("texts-1", "pairs", "met")
     groups = components(stage, links, "groups")
 
     total = sets.agg(F.sum(prefix_size_sql("n"))).first()[0] or 0
