@@ -1,12 +1,48 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+toxicity (texts that score 0.5 or more go), near duplicates (one document of each component
+stays), benchmark decontamination (documents that hold a benchmark window go), personal data
+(every span becomes its kind in angle brackets), packing (pieces of sequences).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskspark.llm import decontam, jaccard, packing, pii, toxicity
 from riskspark.llm.common import Staging, read_table
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(spark, docs, read_table(spark, sf_dir, "labels"), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(spark, docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.remove_documents(spark, docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(spark, docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    places, _ = packing.pack(spark, docs, packing.word_bpe())
+    return places
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Networks, components and packing are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, jaccard, language, packing, pii, tokenfiles, toxicity
+from . import ann, chat, decontam, jaccard, language, license, packing, pii, tokenfiles, toxicity
 
 Q = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_language": language.op2_language,
+    "op3_licences": license.op3_licences,
     "op4_token_files": tokenfiles.op4_token_files,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_pack": packing.op6_pack,
