@@ -11,10 +11,10 @@ A text's set is its distinct 5-word shingles as 64-bit hashes; texts of equal se
    two linked sets share a known number of them) are dealt by hash range, and tokens that only one
    group holds fall out. A node that shares too few tokens with other groups has no link and is
    done; that ends the search for all but a few.
-3. *Bound and open.* For the nodes left, the matrix holds each group's token union. A node's rarest
-   shared tokens give its candidate groups, its overlap with the union of each is counted, and only
+3. *Bound and open.* For the nodes left, the matrix holds each group's token union. The rarest
+   shared tokens give the candidate groups, a node's overlap with the union of each is counted, and only
    groups where the overlap is enough for a link are opened: their nodes of fitting size are
-   checked set against set. Each link is sought from its smaller set, of which it shares 6/7.
+   checked set against set. Of two groups, the one of fewer nodes asks the other.
 4. *Components* of all links by smallest labels and pointer jumps, each round a written table.
 
 No step drops, caps or samples: steps 1 and 3 only order the work, and 2 is a proven bound.
@@ -246,8 +246,8 @@ def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
 
     Of two linked sets of n <= m elements at least 75/175 * (n + m) are shared. With s tokens in
     other groups, a set of n can therefore only link to sets of at most ``cap`` = s * 175/75 - n;
-    and the smaller set of a link shares at least 6/7 of itself. Every link is sought from its
-    smaller set.
+    and the smaller set of a link shares at least 6/7 of itself, which shortens its prefix. Groups
+    meet in a prefix token; the group of fewer nodes then asks the other.
     """
     need = F.ceil(F.col("n") * SHARE / NUMBER)
     need_small = F.ceil(F.col("n") * 2 * SHARE / (NUMBER + SHARE))
@@ -264,18 +264,26 @@ def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
         "at", F.row_number().over(Window.partitionBy("node").orderBy("rare", "token")))
     # tokens of one group come first in the order: n - s of the prefix are such
     prefix = stage.write(ranked.where(F.col("at") <= F.col("s") - need + 1), "prefix")
-    matrix = prefix.groupBy("token", F.col("g").alias("other")).agg(
-        F.max("cap").alias("most"), F.max("n").alias("largest"))
-    asked = prefix.where((F.col("cap") >= F.col("n")) & (F.col("at") <= F.col("s") - need_small + 1))
-    fits = (F.col("g") != F.col("other")) & (F.col("n") <= F.col("most")) & (F.col("n") <= F.col("largest"))
-    candidates = asked.select("token", "node", "g", "n").join(matrix, "token").where(fits).select("node", "other").distinct()
+    small = (F.col("cap") >= F.col("n")) & (F.col("at") <= F.col("s") - need_small + 1)
+    matrix = prefix.groupBy("token", "g").agg(
+        F.max("cap").alias("most"), F.max("n").alias("largest"), F.min(F.when(small, F.col("n"))).alias("asks"))
+    asked = matrix.where("asks is not null").select("token", "g", "asks")
+    held = matrix.select("token", F.col("g").alias("other"), "most", "largest")
+    met = asked.join(held, "token").where("g <> other and asks <= most and asks <= largest").select(
+        F.least("g", "other").alias("g"), F.greatest("g", "other").alias("other")).distinct()
+    # Of two groups that meet, the one of fewer nodes asks and the other is bounded and opened.
+    nodes = tokens.select("node", "g", "n", "cap").distinct()
+    size = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    met = met.join(size, "g").join(size.select(F.col("g").alias("other"), F.col("k").alias("ko")), "other")
+    swap = F.col("ko") < F.col("k")
+    candidates = met.select(F.when(swap, F.col("other")).otherwise(F.col("g")).alias("g"),
+                            F.when(swap, F.col("g")).otherwise(F.col("other")).alias("other"))
     union = tokens.select("token", F.col("g").alias("other")).distinct()
-    overlap = candidates.join(tokens.select("node", "token", "n", "cap"), "node").join(union, ["token", "other"]).groupBy(
+    overlap = candidates.join(tokens.select("g", "node", "token", "n", "cap"), "g").join(union, ["token", "other"]).groupBy(
         "node", "other").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("cap").alias("cap"))
-    opened = stage.write(overlap.where(F.col("m") >= need_small), "opened")
-    members = tokens.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"),
-                            F.col("cap").alias("capb")).distinct()
-    fit = (F.col("n") <= F.col("nb")) & (F.lit(NUMBER) * F.col("n") >= F.lit(SHARE) * F.col("nb")) & (
+    opened = stage.write(overlap.where(F.col("m") >= need), "opened")
+    members = nodes.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("capb"))
+    fit = (F.lit(NUMBER) * F.least("n", "nb") >= F.lit(SHARE) * F.greatest("n", "nb")) & (
         F.col("nb") <= F.col("cap")) & (F.col("n") <= F.col("capb")) & (
         F.col("m") * (NUMBER + SHARE) >= (F.col("n") + F.col("nb")) * SHARE)
     return opened.join(members, "other").where(fit).select(
