@@ -277,16 +277,21 @@ def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
     met = met.join(size, "g").join(size.select(F.col("g").alias("other"), F.col("k").alias("ko")), "other")
     swap = F.col("ko") < F.col("k")
     candidates = met.select(F.when(swap, F.col("other")).otherwise(F.col("g")).alias("g"),
-                            F.when(swap, F.col("g")).otherwise(F.col("other")).alias("other"))
+                            F.when(swap, F.col("g")).otherwise(F.col("other")).alias("other"),
+                            (F.greatest("k", "ko") == 1).alias("single"))
+    candidates = stage.write(candidates, "candidates")
     union = tokens.select("token", F.col("g").alias("other")).distinct()
-    overlap = candidates.join(tokens.select("g", "node", "token", "n", "cap"), "g").join(union, ["token", "other"]).groupBy(
+    overlap = candidates.where("not single").join(tokens.select("g", "node", "token", "n", "cap"), "g").join(union, ["token", "other"]).groupBy(
         "node", "other").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("cap").alias("cap"))
     opened = stage.write(overlap.where(F.col("m") >= need), "opened")
     members = nodes.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("capb"))
     fit = (F.lit(NUMBER) * F.least("n", "nb") >= F.lit(SHARE) * F.greatest("n", "nb")) & (
         F.col("nb") <= F.col("cap")) & (F.col("n") <= F.col("capb")) & (
         F.col("m") * (NUMBER + SHARE) >= (F.col("n") + F.col("nb")) * SHARE)
-    return opened.join(members, "other").where(fit).select(
+    # A group of one node is its own union: two of them are checked at once.
+    single = candidates.where("single").join(nodes, "g").select(
+        "node", "other", F.col("n").alias("m"), "n", "cap")
+    return opened.select("node", "other", "m", "n", "cap").unionByName(single).join(members, "other").where(fit).select(
         F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -327,7 +332,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = stage.write(whole_sets(texts.join(left, "node")), "whole")
     more = checked(open_groups(stage, whole), texts)
     every = links.unionByName(stage.write(more, "links-2"))
-    stage.drop("whole", "texts-2", "shared-0", "shared-1", "shared-2", "prefix", "opened")
+    stage.drop("whole", "texts-2", "shared-0", "shared-1", "shared-2", "prefix", "candidates", "opened")
 
     labels = components(stage, every, "components")
     own = sets.select("doc_id", "h", "n", "node").join(labels, "node", "left").withColumn("c", F.coalesce("label", "node"))
