@@ -46,7 +46,7 @@ LOOKS = {
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 3
 
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_SPANS = "array<struct<first:bigint,past:bigint,found:string>>"
+_SPANS = "array<struct<first:bigint,past:bigint,found:string,before:string>>"
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -64,19 +64,23 @@ def _checked(kind: str) -> Column:
     return F.filter(kind, lambda s: _valid(kind, s["found"])).alias(kind)
 
 
+def _step(between: Column, found: Column) -> Column:
+    return F.struct(F.length(between).cast("long").alias("gap"), F.lower(F.right(between, F.lit(80))).alias("before"),
+                    found.alias("found"))
+
+
 def spans_of(text: Column, expr: str, needs: str | None = None) -> Column:
     """Spans (first, past, found) of all matches: the text between them gives their places."""
     found = F.regexp_extract_all(text, F.lit(expr), F.lit(0))
     between = F.split(text, expr, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found,
-                       lambda b, m: F.struct(F.length(b).cast("long").alias("gap"), m.alias("found")))
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, _step)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("all"))
 
     def step(a, s):
         first = a["at"] + s["gap"]
         past = first + F.length(s["found"])
         return F.struct(past.alias("at"), F.array_append(a["all"], F.struct(
-            first.alias("first"), past.alias("past"), s["found"].alias("found"))).alias("all"))
+            first.alias("first"), past.alias("past"), s["found"].alias("found"), s["before"].alias("before"))).alias("all"))
 
     out = F.aggregate(steps, start, step, lambda a: a["all"])
     worth = text.rlike(expr) if needs is None else text.contains(needs) & text.rlike(expr)
@@ -87,11 +91,8 @@ def _candidates(text: Column) -> Column:
     """Identifier-like tokens with the words before them."""
     found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     between = F.split(text, _TOKEN, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found,
-                       lambda b, m: F.struct(F.length(b).cast("long").alias("gap"),
-                                             F.lower(F.right(b, F.lit(80))).alias("before"), m.alias("found")))
-    kind = "array<struct<first:bigint,past:bigint,found:string,w2:string,w1:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("all"))
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, _step)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("all"))
 
     def step(a, s):
         head = F.regexp_extract(s["found"], r"^[^0-9A-Za-z+(\[:]*", 0)
@@ -99,11 +100,10 @@ def _candidates(text: Column) -> Column:
         first = a["at"] + s["gap"] + F.length(head)
         return F.struct((a["at"] + s["gap"] + F.length(s["found"])).alias("at"), F.array_append(a["all"], F.struct(
             first.alias("first"), (first + F.length(body)).alias("past"), body.alias("found"),
-            F.regexp_extract(s["before"], r"(\S+)\s+\S+\s+$", 1).alias("w2"),
-            F.regexp_extract(s["before"], r"(\S+)\s+$", 1).alias("w1"))).alias("all"))
+            s["before"].alias("before"))).alias("all"))
 
     return F.when(text.rlike(_TOKEN), F.aggregate(steps, start, step, lambda a: a["all"])).otherwise(
-        F.array().cast(kind))
+        F.array().cast(_SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -116,22 +116,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def instances(base: DataFrame) -> DataFrame:
-    """One row per candidate, kind and pattern: doc_id, h, kind, first, past, instance, pattern, seed."""
-    c = base.where(F.size("candidates") > 0).select("doc_id", "h", *KINDS, F.explode("candidates").alias("c"))
-    looks = F.array(*[F.when(F.col("c.found").rlike(LOOKS[k]), F.struct(
-        F.lit(k).alias("kind"),
-        F.exists(k, lambda s: (s["first"] < F.col("c.past")) & (s["past"] > F.col("c.first"))).alias("seed")))
-        for k in KINDS])
+    """One row per instance, kind and pattern: doc_id, h, kind, first, past, instance, seed, pattern.
+
+    Base spans are the seeds. Tokens that no base span touches are the candidates, once for each
+    kind whose look they have.
+    """
     covered = F.lit(False)
     for k in KINDS:
         covered = covered | F.exists(k, lambda s: (s["first"] < F.col("c.past")) & (s["past"] > F.col("c.first")))
-    c = c.select("doc_id", "h", "c", covered.alias("covered"), F.explode(F.array_compact(looks)).alias("k"))
-    patterns = F.array_compact(F.array(
-        F.when(F.col("c.w1") != "", F.col("c.w1")),
-        F.when(F.col("c.w2") != "", F.concat("c.w2", F.lit(" "), "c.w1"))))
-    return c.select("doc_id", "h", F.col("k.kind").alias("kind"), F.col("c.first").alias("first"),
-                    F.col("c.past").alias("past"), F.lower("c.found").alias("instance"), F.col("k.seed").alias("seed"),
-                    "covered", F.explode(patterns).alias("pattern"))
+    looks = F.array_compact(F.array(*[F.when(F.col("c.found").rlike(LOOKS[k]), F.lit(k)) for k in KINDS]))
+    rows = base.where(F.size("candidates") > 0).select("doc_id", "h", *KINDS, F.explode("candidates").alias("c")).where(
+        ~covered).select("doc_id", "h", "c", F.explode(looks).alias("kind"), F.lit(False).alias("seed"))
+    for k in KINDS:
+        rows = rows.unionByName(base.where(F.size(k) > 0).select(
+            "doc_id", "h", F.explode(k).alias("c"), F.lit(k).alias("kind"), F.lit(True).alias("seed")))
+    w1 = F.regexp_extract("c.before", r"(\S+)\s+$", 1)
+    w2 = F.regexp_extract("c.before", r"(\S+)\s+\S+\s+$", 1)
+    patterns = F.array_compact(F.array(F.when(w1 != "", w1), F.when(w2 != "", F.concat(w2, F.lit(" "), w1))))
+    return rows.select("doc_id", "h", "kind", F.col("c.first").alias("first"), F.col("c.past").alias("past"),
+                       F.lower("c.found").alias("instance"), "seed", F.explode(patterns).alias("pattern"))
 
 
 def trusted_patterns(stage: Staging, found: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def find_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = stage.write(base_spans(docs), "base")
     found = stage.write(instances(base), "instances")
     good = trusted_patterns(stage, found)
-    more = (found.where(~F.col("covered")).join(good, ["kind", "pattern"], "left_semi")
+    more = (found.where(~F.col("seed")).join(good, ["kind", "pattern"], "left_semi")
             .groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("kind", "first", "past"))).alias("more")))
     more = more.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "more")
     out = base.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
