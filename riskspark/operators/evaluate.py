@@ -15,13 +15,14 @@ from .ordered import IDX, global_prefix, grouped_prefix
 
 
 def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
-    """``(actual, predicted, n)`` for all four cells, zeros included."""
+    """``(actual, predicted, n)`` for all four cells, zeros included; any other label or
+    prediction in the data keeps a row of its own, so the cells sum to the number of rows."""
     counts = df.groupBy(F.col(label_col).cast("int").alias("actual"),
                         F.col(pred_col).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     cells = df.sparkSession.createDataFrame([(a, p) for a in (0, 1) for p in (0, 1)],
                                             "actual int, predicted int")
-    return (cells.join(broadcast_if_small(counts), ["actual", "predicted"], "left")
-            .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
+    zeros = cells.withColumn("n", F.lit(0).cast("long"))
+    return counts.unionByName(zeros).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def classification_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "prediction",
@@ -108,12 +109,9 @@ def compare_models(scored_tall: DataFrame, model_col: str = "model", score_col:
 def best_model(comparison: DataFrame, metric: str = "accuracy", model_col: str = "model",
                position_col: str | None = "position") -> DataFrame:
     """The row with the highest metric; ties go to the earliest position (the
-    strict ``>`` of a running maximum), else the smallest name. An aggregate, not a sort."""
-    tie = (-F.col(position_col)) if position_col else F.lit(0)
-    key = F.struct(F.col(metric), tie, F.lit(0) if position_col else -F.length(model_col))
-    cols = [c for c in comparison.columns]
-    best = comparison.agg(F.max_by(F.struct(*cols), key).alias("b"))
-    return best.select("b.*")
+    strict ``>`` of a running maximum), else the smallest name. A top-1, not a full sort."""
+    ties = [F.asc(position_col)] if position_col else []
+    return comparison.orderBy(F.desc_nulls_last(metric), *ties, F.asc(model_col)).limit(1)
 
 
 def rank_models(comparison: DataFrame, metric: str = "accuracy", model_col: str = "model") -> DataFrame:

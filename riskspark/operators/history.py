@@ -11,8 +11,8 @@ from ..schemas import FEATURE_KEYS, UNKNOWN_MODEL
 
 def flatten_nested(df: DataFrame, nested_col: str = "input_data", keys: list[str] | None = None,
                    model_col: str = "model_used", default_model: str = UNKNOWN_MODEL) -> DataFrame:
-    """Lift every field of the nested struct to the top level (nested values win
-    where present), make sure every feature column exists (NULL when absent), default the
+    """Lift every field of the nested struct to the top level (a nested value
+    wins, an explicit null too, as long as the struct itself is there), make sure every feature column exists (NULL when absent), default the
     model key, and drop the store key ``_id`` and the struct itself."""
     keys = list(keys if keys is not None else FEATURE_KEYS)
     out = df
@@ -22,7 +22,7 @@ def flatten_nested(df: DataFrame, nested_col: str = "input_data", keys: list[str
         top = F.col(k) if k in df.columns else F.lit(None).cast("double")
         if k in nested_fields:
             inner = F.col(f"{nested_col}.{k}")
-            out = out.withColumn(k, F.when(inner.isNotNull(), inner).otherwise(top))
+            out = out.withColumn(k, F.when(F.col(nested_col).isNotNull(), inner).otherwise(top))
         elif k not in df.columns:
             out = out.withColumn(k, top)
     if model_col in out.columns:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,20 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]], prefix:
     return df.withColumns(out)
 
 
+def preparation(train: DataFrame, cols: list[str]) -> SQLTransformer:
+    """A10 + M1 + M2 as a pipeline stage that is saved with the model: NULL and NaN become the
+    train split's median (``percentile_approx``), then (x - mean) / population sd, into ``_z_*``."""
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    row = train.agg(*[F.percentile_approx(v, 0.5, 100_000).alias(f"d_{c}") for c, v in known.items()]).first()
+    filled = train.select(*[F.coalesce(v, F.lit(row[f"d_{c}"] or 0.0)).alias(c) for c, v in known.items()])
+    scaler = fit_population_scaler(filled, cols)
+    parts = []
+    for c, (m, s) in scaler.items():
+        x = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(row[f'd_{c}'] or 0.0)!r}D)"
+        parts.append(f"({x} - ({float(m or 0.0)!r}D)) / {float(s or 1.0)!r}D AS `_z_{c}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+
+
 # ------------------------------------------------------------------ split
 
 def deterministic_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
@@ -80,7 +94,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return (out.withColumn("prediction", F.col("prediction").cast("int"))
             .withColumn("probability", vector_to_array(F.col("probability"))[1])
-            .drop("rawPrediction", "features"))
+            .drop("rawPrediction", "features", *[c for c in out.columns if c.startswith("_z_")]))
 
 
 def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "label",
@@ -99,25 +113,26 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
                                test_fraction, seed, key_cols=key_cols or [*feature_cols, label_col])
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    if scale:
-        # Fitted on the train split only (the reference fits on all rows: T8).
-        scaler = fit_population_scaler(train, feature_cols)
-        train, test = apply_scaler(train, scaler), apply_scaler(test, scaler)
+    # Medians and scales are fitted on the train split only (the reference fits on all rows: T8)
+    # and are a stage of every returned pipeline, so raw rows are scored as they were trained.
+    before = [preparation(train, feature_cols)] if scale else []
     train = train.persist()
     n_train = train.count()
     estimators = estimators or candidate_estimators(n_train, seed, label=label_col)
-    assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+    inputs = [f"_z_{c}" for c in feature_cols] if scale else feature_cols
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
     models, rows = {}, []
     spark = df.sparkSession
     for pos, (name, est) in enumerate(estimators.items()):
-        model = Pipeline(stages=[assembler, est]).fit(train)
+        model = Pipeline(stages=[*before, assembler, est]).fit(train)
         models[name] = model
-        pred = score(model, test)
+        pred = score(model, test).select(label_col, "prediction", "probability").persist()
         m = classification_metrics(pred, label_col, "prediction").select(
             "accuracy", "precision", "recall", "f1_score")
         a = roc_auc(pred, "probability", label_col)
         mrow = m.collect()[0]
         arow = a.collect()[0]
+        pred.unpersist()
         rows.append((name, pos, mrow["accuracy"], mrow["precision"], mrow["recall"], mrow["f1_score"],
                      arow["roc_auc"]))
     train.unpersist()
@@ -131,7 +146,7 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     return results, models, best or rows[0][0]
 
 
-def feature_importance(model: PipelineModel, feature_cols: list[str]) -> DataFrame:
+def feature_importance(model: PipelineModel, feature_cols: list[str], spark=None) -> DataFrame:
     """Tree importances when the model has them, else |coefficients|; tall and
     ordered by importance (descending)."""
     est = model.stages[-1]
@@ -142,7 +157,7 @@ def feature_importance(model: PipelineModel, feature_cols: list[str]) -> DataFra
     else:
         raise ValueError("model has neither importances nor coefficients")
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     rows = [(f, float(s), kind) for f, s in zip(feature_cols, scores)]
     return spark.createDataFrame(rows, "feature string, importance double, kind string") \
                 .orderBy(F.desc("importance"), F.asc("feature"))

@@ -276,14 +276,18 @@ def grouped_prefix(df: DataFrame, group_cols: list[str], order_cols: list[str],
     """Running sums of ``sum_cols`` within each group, ordered by ``order_cols``.
 
     The global prefix runs over the composite key (groups..., order...); a group's start
-    offset is the smallest exclusive prefix among its rows (one row per group, joined back
-    on the group key). Adds ``_gidx`` (1-based index in the group) and ``_gcum_s``.
+    offset is the exclusive prefix of its first row (one row per group, joined back null-safely
+    on the group key, so negative values and NULL groups are kept right). Adds ``_gidx`` (1-based index in the group) and ``_gcum_s``.
     """
     g = global_prefix(df, list(group_cols) + list(order_cols), sum_cols, n_buckets=n_buckets)
     starts = g.groupBy(*group_cols).agg(
         F.min(F.col(IDX) - F.lit(1)).alias("_g0"),
-        *[F.min(F.col(f"_cum_{s}") - F.coalesce(F.col(s), F.lit(0))).alias(f"_g0_{s}") for s in sum_cols])
-    out = g.join(starts, list(group_cols))
+        *[F.min_by(F.col(f"_cum_{s}") - F.coalesce(F.col(s), F.lit(0)), F.col(IDX)).alias(f"_g0_{s}") for s in sum_cols])
+    starts = starts.withColumnsRenamed({c: f"_k_{c}" for c in group_cols})
+    on = F.lit(True)
+    for c in group_cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = g.join(starts, on).drop(*[f"_k_{c}" for c in group_cols])
     out = out.withColumn("_gidx", F.col(IDX) - F.col("_g0"))
     for s in sum_cols:
         out = out.withColumn(f"_gcum_{s}", F.col(f"_cum_{s}") - F.col(f"_g0_{s}"))

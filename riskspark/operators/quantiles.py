@@ -26,8 +26,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], names: li
                     group_cols: list[str] | None = None, n_buckets: int | None = None,
                     moments: bool = False) -> DataFrame:
     """One row per group with a column per probability (``names`` or ``q<p>``) and ``n``;
-    with ``moments`` also min, max, mean and sample sd (NULL for one value), from the same
-    value counts."""
+    with ``moments`` also min, max, mean and sample sd (NULL for one value); NULL groups
+    are kept."""
     group_cols = list(group_cols or [])
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     v = F.col(value_col)
@@ -37,7 +37,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], names: li
         ranked = grouped_prefix(counts, group_cols, [value_col], ["_k"], n_buckets=n_buckets)
         ranked = ranked.withColumnRenamed("_gcum__k", "_cum").drop("_gidx")
         sizes = counts.groupBy(*group_cols).agg(F.sum("_k").alias("n"))
-        ranked = ranked.join(sizes, group_cols)
+        sizes = sizes.withColumnsRenamed({c: f"_z_{c}" for c in group_cols})
+        same = F.lit(True)
+        for c in group_cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"_z_{c}"))
+        ranked = ranked.join(sizes, same).drop(*[f"_z_{c}" for c in group_cols])
         n = F.col("n")
     else:
         total = counts.agg(F.sum("_k")).collect()[0][0] or 0
@@ -51,8 +55,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], names: li
         n = F.col("n")
     first = F.col("_cum") - F.col("_k")
     last = F.col("_cum") - F.lit(1)
-    aggs = [F.first("n").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.sum(v * F.col("_k")).alias("_s1"), F.sum(v * v * F.col("_k")).alias("_s2")]
+    aggs = [F.first("n").alias("n")]
     for p, nm in zip(probs, names):
         h = F.lit(float(p)) * (n - F.lit(1)).cast("double")
         lo, hi = F.floor(h), F.ceil(h)
@@ -63,10 +66,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], names: li
     for nm in names:
         lo, hi, fr = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}"), F.col(f"_fr_{nm}")
         out = out.withColumn(nm, lo + (hi - lo) * fr)
-    nn = F.col("n").cast("double")
-    out = out.withColumn("mean", F.col("_s1") / nn).withColumn(
-        "sd", F.when(nn > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / nn)
-                                               / (nn - F.lit(1.0))))))
+    if moments:  # from the rows themselves: sums of squares cancel when the values share a large offset
+        stats = clean.groupBy(*[F.col(c).alias(f"_m_{c}") for c in group_cols]).agg(
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+        on = F.lit(True)
+        for c in group_cols:
+            on = on & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+        out = out.join(stats, on)
     cols = [*group_cols, "n", *names] + (["min", "max", "mean", "sd"] if moments else [])
     return out.select(*cols)
 

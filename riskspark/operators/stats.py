@@ -40,7 +40,7 @@ def risk_kpis(h: DataFrame) -> DataFrame:
     )
     for b in ("low", "moderate", "high", "over_60"):
         out = out.withColumn(f"{b}_share", F.try_divide(F.col(f"{b}_n") * F.lit(100.0), F.col("total")))
-    out = out.withColumn("avg_band", risk_band("avg_probability"))
+    out = out.withColumn("avg_band", F.when(F.col("total") > 0, risk_band("avg_probability")))
     return out
 
 
@@ -81,7 +81,8 @@ def histogram(df: DataFrame, value_col: str = "risk_percent", bins: int = HIST_B
     frame = (spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
              .withColumn("bin_lo", F.element_at(lo_arr, F.col("bin")))
              .withColumn("bin_hi", F.element_at(hi_arr, F.col("bin"))))
-    out = frame.join(broadcast_if_small(counts, known_rows=bins), "bin", "left")  # <= bins rows.withColumn("n", F.coalesce("n", F.lit(0)))
+    out = frame.join(broadcast_if_small(counts, known_rows=bins), "bin", "left")  # <= bins rows
+    out = out.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     out = out.withColumn("center", (F.col("bin_lo") + F.col("bin_hi")) / F.lit(2.0))
     return out.withColumn("band", risk_band_percent("center")).orderBy("bin")
 
@@ -149,8 +150,9 @@ def density(df: DataFrame, value_col: str = "chol", group_col: str = "risk_band"
 
 
 def trend_fit(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
-    """Least-squares line y = slope * x + intercept (needs >= 2 rows; NULLs dropped)."""
-    d = df.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull())
+    """Least-squares line y = slope * x + intercept (needs >= 2 rows; NULL and NaN dropped)."""
+    x, y = F.col(x_col).cast("double"), F.col(y_col).cast("double")
+    d = df.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     fit = d.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y_col, x_col).alias("slope"),
                 F.regr_intercept(y_col, x_col).alias("intercept"),
                 F.min(x_col).cast("double").alias("x_min"), F.max(x_col).cast("double").alias("x_max"))

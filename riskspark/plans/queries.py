@@ -685,8 +685,8 @@ def q_feature_importance(spark, sf):
     from ..operators import ml
     _, models, best = _trained(spark, sf)
     rows = None
-    for name in ("Random Forest", "Logistic Regression"):
-        imp = ml.minmax_shade(ml.feature_importance(models[name], EMB_FEATURES)).withColumn("model", F.lit(name))
+    for name in models:
+        imp = ml.minmax_shade(ml.feature_importance(models[name], EMB_FEATURES, spark)).withColumn("model", F.lit(name))
         rows = imp if rows is None else rows.unionByName(imp)
     return rows
 

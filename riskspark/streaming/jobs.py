@@ -34,10 +34,10 @@ EVENTS_SCHEMA = T.StructType([
 def history_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                    glob: str | None = None) -> DataFrame:
     """Score history H as a stream over the event files of a directory (same projection as
-    the batch view); ``glob`` picks the files (``pathGlobFilter``)."""
+    the batch view); ``glob`` picks a table below ``path``, one file or a directory of part files."""
     r = spark.readStream.schema(EVENTS_SCHEMA)
     if glob:
-        r = r.option("pathGlobFilter", glob)
+        path = f"{path.rstrip('/')}/{{{glob}}}"  # a pattern may name a file; a plain path must be a directory
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = r.parquet(path)
