@@ -5,16 +5,17 @@ A text's set is its distinct 5-word shingles as 64-bit hashes; texts of equal se
 
 1. *Groups.* Bands of bin minima of the sets bring similar nodes together; a node is checked, set
    against set, with the most central node of each band only (the one that meets most others over
-   all its bands), so thousands of near copies cost a few checks each. The components of these links are the groups; a group's own pairs need no further
-   check, since all its nodes are connected already.
+   all its bands), so thousands of near copies cost a few checks each. The components of these links
+   are the groups; a group's own pairs need no further check, since all its nodes are connected already.
 2. *Matrix.* What is left are links between groups. The smallest hashes of each set (enough that
    two linked sets share a known number of them) are dealt by hash range, and tokens that only one
    group holds fall out. A node that shares too few tokens with other groups has no link and is
    done; that ends the search for all but a few.
 3. *Bound and open.* For the nodes left, the matrix holds each group's token union. The rarest
    shared tokens give the candidate groups, a node's overlap with the union of each is counted, and only
-   groups where the overlap is enough for a link are opened: their nodes of fitting size are
-   checked set against set. Of two groups, the one of fewer nodes asks the other.
+   groups where the overlap is enough for a link are opened, block by block: a block's own union
+   bounds again, and the sets of blocks that pass are compared. Of two groups, the one of fewer
+   nodes asks the other.
 4. *Components* of all links by smallest labels and pointer jumps, each round a written table.
 
 No step drops, caps or samples: steps 1 and 3 only order the work, and 2 is a proven bound.
@@ -45,6 +46,8 @@ NUMBER, SHARE = 100, 75
 BINS, BANDS = 64, 16
 #: Tokens a task holds before it deals them, and tokens of one hash range.
 HELD, RANGE = 1_500_000, 1_000_000
+#: Tokens of one block of an opened group, and of the nodes that ask it in one task.
+BLOCK, ASKERS = 4_000, 200_000
 
 NO_SPACE = np.ones(256, bool)
 NO_SPACE[0x20] = NO_SPACE[0x09:0x0E] = False
@@ -242,7 +245,9 @@ def _between_groups(tokens: DataFrame) -> DataFrame:
 
 
 def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups to be checked; tokens (token, node, g, n) are whole sets.
+    """Pairs (a, b) of one-node groups to be checked, and the links found in opened groups.
+
+    tokens (token, node, g, n) are whole sets.
 
     Of two linked sets of n <= m elements at least 75/175 * (n + m) are shared. With s tokens in
     other groups, a set of n can therefore only link to sets of at most ``cap`` = s * 175/75 - n;
@@ -283,16 +288,60 @@ def open_groups(stage: Staging, tokens: DataFrame) -> DataFrame:
     union = tokens.select("token", F.col("g").alias("other")).distinct()
     overlap = candidates.where("not single").join(tokens.select("g", "node", "token", "n", "cap"), "g").join(union, ["token", "other"]).groupBy(
         "node", "other").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("cap").alias("cap"))
-    opened = stage.write(overlap.where(F.col("m") >= need), "opened")
-    members = nodes.select(F.col("g").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("capb"))
-    fit = (F.lit(NUMBER) * F.least("n", "nb") >= F.lit(SHARE) * F.greatest("n", "nb")) & (
-        F.col("nb") <= F.col("cap")) & (F.col("n") <= F.col("capb")) & (
-        F.col("m") * (NUMBER + SHARE) >= (F.col("n") + F.col("nb")) * SHARE)
+    opened = stage.write(overlap.where(F.col("m") >= need).select("node", "other"), "opened")
     # A group of one node is its own union: two of them are checked at once.
-    single = candidates.where("single").join(nodes, "g").select(
-        "node", "other", F.col("n").alias("m"), "n", "cap")
-    return opened.select("node", "other", "m", "n", "cap").unionByName(single).join(members, "other").where(fit).select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    one, two = (nodes.select(F.col("node").alias(x), F.col("g").alias(g), F.col("n").alias(f"n{x}"), F.col("cap").alias(f"cap{x}"))
+                for x, g in (("a", "g"), ("b", "other")))
+    single = candidates.where("single").join(one, "g").join(two, "other").where(
+        (F.lit(NUMBER) * F.least("na", "nb") >= F.lit(SHARE) * F.greatest("na", "nb"))
+        & (F.col("na") <= F.col("capb")) & (F.col("nb") <= F.col("capa")))
+    return single.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), linked_in_blocks(opened, tokens)
+
+
+def linked_in_blocks(opened: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes and the groups of ``opened`` (node, other).
+
+    An opened group is cut into blocks of about :data:`BLOCK` tokens, each again bounded by its
+    token union; only in blocks that pass are sets compared. The nodes that ask come in shares of
+    about :data:`ASKERS` tokens, so neither side of a task grows with the group. A token of two
+    groups is in ``tokens`` for both nodes, so intersections are those of the whole sets.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        sides = []
+        for side in (t.filter(pa.array(asks)), t.filter(pa.array(~asks))):
+            lists = [np.asarray(x.as_py(), np.int64) for x in side["t"]]
+            sides.append((side["node"].to_numpy(), side["n"].to_numpy(), lists))
+        (node, n, sets), (member, size, held) = sides
+        a, b = [], []
+        if len(node) and len(member):
+            union, seat = np.unique(np.concatenate(held), return_inverse=True)
+            begin = np.cumsum([0, *map(len, held)])[:-1]
+            for x, k, own in zip(node, n, sets):
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                hit = np.zeros(len(union), np.int64)
+                hit[at[union[at] == own]] = 1
+                if hit.sum() * (NUMBER + SHARE) < SHARE * (k + size.min()):
+                    continue
+                common = np.add.reduceat(hit[seat], begin)
+                near = member[NUMBER * common >= SHARE * (k + size - common)]
+                a += np.minimum(x, near).tolist()
+                b += np.maximum(x, near).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = tokens.groupBy("node").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.collect_list("token").alias("t"))
+    weight = F.sum(F.size("t"))
+    asking = opened.join(sets.drop("g"), "node").withColumnRenamed("other", "g")
+    members = sets.join(opened.select(F.col("other").alias("g")).distinct(), "g", "left_semi")
+    cuts = members.groupBy("g").agg(F.ceil(weight / BLOCK).alias("blocks")).join(
+        asking.groupBy("g").agg(F.ceil(weight / ASKERS).alias("shares")), "g")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = asking.join(cuts, "g").select("g", every("blocks").alias("block"), own("shares").alias("share"), "node", "n", "t",
+                                         F.lit(True).alias("asks"))
+    rows = rows.unionByName(members.join(cuts, "g").select("g", own("blocks").alias("block"), every("shares").alias("share"),
+                                                           "node", "n", "t", F.lit(False).alias("asks")))
+    return rows.groupBy("g", "block", "share").applyInArrow(run, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- the join
@@ -330,7 +379,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     texts = stage.write(texts_of(docs, sets, left), "texts-2")
     whole = stage.write(whole_sets(texts.join(left, "node")), "whole")
-    more = checked(open_groups(stage, whole), texts)
+    single, opened = open_groups(stage, whole)
+    more = checked(single, texts).unionByName(opened)
     every = links.unionByName(stage.write(more, "links-2"))
     stage.drop("whole", "texts-2", "shared-0", "shared-1", "shared-2", "prefix", "candidates", "opened")
 
