@@ -81,6 +81,32 @@ def test_jaccard_family_of_near_copies(spark):
     assert sorted(map(tuple, got), key=repr) == _plain_components(rows)
 
 
+def test_jaccard_blocks_of_an_opened_group(spark, monkeypatch):
+    """A group cut into many blocks, asked by texts near 75 %: every link of brute force is found."""
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    monkeypatch.setattr(jaccard, "ASKERS", 500)
+    g = np.random.Generator(np.random.PCG64(7))
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in g.choice(len(w), int(g.integers(2, 9)), replace=False):
+            w[at] = f"y{g.integers(12)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(spark, df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == _plain_components(rows)
+
+    sets = {i: set(jaccard.shingle_sets(*jaccard.utf8(jaccard.pa.array([t])))[0].view(np.int64).tolist()) for i, t in rows}
+    tokens = spark.createDataFrame([(t, i, 1 if i < 100 else i, len(x)) for i, x in sets.items() for t in x],
+                                   "token long, node long, g long, n long")
+    opened = spark.createDataFrame([(i, 1) for i in range(100, 120)], "node long, other long")
+    got = {(r["a"], r["b"]) for r in jaccard.linked_in_blocks(opened, tokens).collect()}
+    assert got == {(a, b) for a in range(100) for b in range(100, 120)
+                   if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert got
+
+
 def test_keep_one(spark, docs):
     kept = jaccard.keep_one(spark, docs)
     assert kept.columns == docs.columns
