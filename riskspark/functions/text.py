@@ -15,10 +15,9 @@ def iso_text(ts) -> Column:
 
     The fraction is printed with 6 digits and left out entirely when it is zero.
     """
-    t = _c(ts)
-    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(t, "SSSSSS")
-    return F.when(micros == F.lit("000000"), whole).otherwise(F.concat(whole, F.lit("."), micros))
+    t = _c(ts).cast("string")  # TIMESTAMP_NTZ prints its own fields, whatever the session zone
+    whole, micros = F.concat(t.substr(1, 10), F.lit("T"), t.substr(12, 8)), t.substr(21, 6)
+    return F.when(micros == F.lit(""), whole).otherwise(F.concat(whole, F.lit("."), F.rpad(micros, 6, "0")))
 
 
 def parse_iso(text) -> Column:
@@ -28,7 +27,9 @@ def parse_iso(text) -> Column:
 
 def display_time(ts) -> Column:
     """``%b %d %Y, %H:%M``."""
-    return F.date_format(_c(ts), "MMM dd yyyy, HH:mm")
+    t = _c(ts).cast("string")
+    month = F.date_format(F.to_date(t.substr(1, 10)), "MMM")
+    return F.concat(month, F.lit(" "), t.substr(9, 2), F.lit(" "), t.substr(1, 4), F.lit(", "), t.substr(12, 5))
 
 
 def pct_text(frac, decimals: int = 1) -> Column:

@@ -28,6 +28,18 @@ def quarantine(df: DataFrame, feature_cols: list[str]) -> DataFrame:
             .withColumn("valid", F.size("bad_features") == F.lit(0)))
 
 
+def split_requests(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """P25 in front of scoring: (rows that can be scored, their features as doubles; rejected
+    rows as they came, with ``bad_features``). NaN counts as not numeric here: no model scores it."""
+    q = quarantine(df, feature_cols)
+    nan = F.filter(F.array(*[F.when(F.isnan(f"{c}_num"), F.lit(c)) for c in feature_cols]), lambda x: x.isNotNull())
+    q = q.withColumn("bad_features", F.concat("bad_features", nan))
+    good = F.size("bad_features") == 0
+    extra = ["bad_features", "valid", *[f"{c}_num" for c in feature_cols]]
+    return (q.where(good).withColumns({c: F.col(f"{c}_num") for c in feature_cols}).drop(*extra),
+            q.where(~good).select(*df.columns, "bad_features"))
+
+
 def rule_violations(df: DataFrame, rules: list[tuple]) -> DataFrame:
     """``rules`` = (column, lo, hi, allowed codes); a NULL value is not checked.
     Adds ``violations``: the names of the rules a row breaks."""

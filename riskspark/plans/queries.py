@@ -695,7 +695,8 @@ def q_feature_importance(spark, sf):
 def q_score_batch(spark, sf):
     """M8 + P24 + P31: each request row names a model (by its label group; an unknown key
     falls back to the default), rows are scored per chosen model with the saved and
-    reloaded pipelines and stamped with the model's artefact digest."""
+    reloaded pipelines and stamped with the model's artefact digest. A row with a bad feature
+    is not scored: its model, prediction and digest are NULL (P25)."""
     from ..operators import ml
     from ..sources.artifacts import artifact_manifest, load_model, save_model
     from ..session import shared_dir
@@ -708,7 +709,8 @@ def q_score_batch(spark, sf):
     l = learnable_view(spark, sf).withColumn(
         "requested", F.when(F.col("label") <= 3, F.lit("logistic_regression"))
                       .when(F.col("label") <= 6, F.lit("gradient_boosting")).otherwise(F.lit("svm")))
-    chosen = l.withColumn("model_used", validate.choose_model("requested"))
+    valid, rejected = validate.split_requests(l, EMB_FEATURES)
+    chosen = valid.withColumn("model_used", validate.choose_model("requested"))
     parts = [ml.score(m, chosen.where(F.col("model_used") == F.lit(k))) for k, m in loaded.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -716,8 +718,9 @@ def q_score_batch(spark, sf):
     manifest = artifact_manifest(spark, root, list(loaded)).select(
         F.col("model").alias("model_used"), F.col("sha256").alias("model_hash"))
     from ..operators.joins import broadcast_if_small
-    return (out.join(broadcast_if_small(manifest, known_rows=len(loaded)), "model_used", "left")
-            .select("vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash"))
+    scored = (out.join(broadcast_if_small(manifest, known_rows=len(loaded)), "model_used", "left")
+              .select("vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash"))
+    return scored.unionByName(rejected.select("vec_id", "target", "requested"), allowMissingColumns=True)
 
 
 @register("artifact_manifest")

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from ..schemas import COMPARISON_DDL, METRICS_SCHEMA, MISSING_MARKER, TRAINING_SCHEMA
 
+_BAD = "_malformed"
+
 
 def read_training(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA,
                   strict: bool = True) -> DataFrame:
@@ -18,17 +20,35 @@ def read_training(spark: SparkSession, path: str, schema: T.StructType = TRAININ
             .option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path))
 
 
+def _parsed_history(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """(raw, rec): each JSON text and its records as an array; NULL where it does not parse."""
+    try:
+        raw = spark.read.text(path, wholetext=multi_line)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        raw = spark.createDataFrame([], "value string")
+    raw = raw.select(F.col("value").alias("raw")).where(F.trim("raw") != "")
+    if multi_line:
+        return raw.withColumn("rec", F.from_json("raw", T.ArrayType(schema), {"mode": "PERMISSIVE"}))
+    whole = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    rec = raw.withColumn("rec", F.from_json("raw", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
+    return rec.withColumn("rec", F.when(F.col(f"rec.{_BAD}").isNull(), F.array("rec")))
+
+
 def read_history_json(spark: SparkSession, path: str, schema: T.StructType,
                       multi_line: bool = False) -> DataFrame:
     """History records from JSON (JSON Lines by default - splittable; ``multi_line`` for
     one JSON array per file). A missing path gives an empty frame, as the fallback file
-    reader does; malformed rows are kept with NULL fields (PERMISSIVE)."""
-    try:
-        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    reader does; texts that do not parse are left to :func:`malformed_history_json`."""
+    good = _parsed_history(spark, path, schema, multi_line).select(F.explode("rec").alias("r"))
+    return good.select(*[F.col(f"r.`{c}`").alias(c) for c in schema.fieldNames()])
+
+
+def malformed_history_json(spark: SparkSession, path: str, schema: T.StructType,
+                           multi_line: bool = False) -> DataFrame:
+    """S2 quarantine: the raw texts :func:`read_history_json` leaves out."""
+    return _parsed_history(spark, path, schema, multi_line).where("rec is null").select("raw")
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> DataFrame:

@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 
 from ..functions.bands import risk_band, risk_percent
 from ..operators.ordered import ntz_micros
+from ..operators.validate import split_requests
 from ..schemas import HIGH_KPI_PERCENT
 from ..session import shared_dir
-from ..sources.sinks import append_with_fallback
+from ..sources.sinks import append_history, append_with_fallback
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -104,16 +105,27 @@ def stream_trend(spark: SparkSession, events_dir: str, glob: str | None = None,
 
 def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType, models: dict[str, PipelineModel],
                  primary: dict, fallback: dict, checkpoint: str, model_col: str = "model",
-                 default_model: str = "random_forest"):
+                 default_model: str = "random_forest", feature_cols: list[str] | None = None,
+                 rejected: dict | None = None, model_hashes: dict[str, str] | None = None, on_stored=None):
     """Each micro-batch is split by chosen model (P24), scored with that model's pipeline
     and written with failover (K3). The write goes to the batch's own ``batch_id=<id>``
     directory in overwrite mode, so a batch replayed after a failure does not duplicate rows;
-    the checkpoint makes restarts resume after the last committed batch."""
+    the checkpoint makes restarts resume after the last committed batch.
+
+    With ``feature_cols``, rows with a missing or non-numeric feature go to the sink ``rejected``
+    unscored (P25). ``model_hashes`` stamps each row with its model's digest and ``on_stored``
+    is told (batch id, name of the sink that took the batch) (P31)."""
     from ..operators.ml import score
 
+    if feature_cols and rejected is None:
+        raise ValueError("feature_cols needs a sink for rejected rows")
     allowed = list(models)
+    hashes = F.create_map(*[F.lit(x) for kv in (model_hashes or {}).items() for x in kv]) if model_hashes else None
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if feature_cols:
+            batch, bad = split_requests(batch, feature_cols)
+            append_history(bad, **rejected, batch_id=batch_id)
         chosen = batch.withColumn("model_used", F.when(F.col(model_col).isin(*allowed), F.col(model_col))
                                   .otherwise(F.lit(default_model)))
         parts = [score(m, chosen.where(F.col("model_used") == F.lit(k))) for k, m in models.items()]
@@ -121,7 +133,11 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
         for p in parts[1:]:
             scored = scored.unionByName(p)
         scored = scored.withColumn("timestamp", F.localtimestamp())
-        append_with_fallback(scored, primary, fallback, batch_id=batch_id)
+        if hashes is not None:
+            scored = scored.withColumn("model_hash", hashes[F.col("model_used")])
+        sink = append_with_fallback(scored, primary, fallback, batch_id=batch_id)
+        if on_stored:
+            on_stored(batch_id, sink)
 
     stream = spark.readStream.schema(schema).json(requests_path)
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

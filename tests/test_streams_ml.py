@@ -78,6 +78,25 @@ def test_score_stream_with_failover(spark):
                                                                                      "random_forest"}
 
 
+def test_score_stream_rejects_and_stamps(spark):
+    df = _separable(spark)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                             LogisticRegression(maxIter=20)]).fit(df)
+    root = shared_dir(spark, f"ss-{uuid.uuid4().hex}")
+    reqs = df.select("a", F.when(F.col("a") > 10, F.col("b")).alias("b"), F.lit("random_forest").alias("model"))
+    reqs.write.json(f"{root}/in")
+    stored = []
+    jobs.score_stream(spark, f"{root}/in", reqs.schema, {"random_forest": model}, {"path": f"{root}/primary"},
+                      {"path": f"{root}/fallback"}, f"{root}/ck", feature_cols=["a", "b"],
+                      rejected={"path": f"{root}/rejected"}, model_hashes={"random_forest": "abc"},
+                      on_stored=lambda i, sink: stored.append(sink)).awaitTermination()
+    n_bad = reqs.where("b IS NULL").count()
+    assert 0 < n_bad < 200 and set(stored) == {"primary"}
+    assert spark.read.parquet(f"{root}/rejected").count() == n_bad
+    out = spark.read.parquet(f"{root}/primary")
+    assert out.count() == 200 - n_bad and out.where("model_hash = 'abc'").count() == 200 - n_bad
+
+
 def test_batch_write_is_idempotent(spark):
     from riskspark.sources import sinks
     root = shared_dir(spark, f"ib-{uuid.uuid4().hex}")

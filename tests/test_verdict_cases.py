@@ -73,3 +73,38 @@ def test_stream_reads_a_directory_table(spark, tmp_path):
     one = sorted(map(str, stream_daily_kpis(spark, "/root/testdata/sf0.001", glob="events.parquet").collect()))
     many = sorted(map(str, stream_daily_kpis(spark, str(tmp_path), glob="events.parquet").collect()))
     assert len(one) == len(many) > 0
+
+
+def test_malformed_history_goes_to_quarantine(spark, tmp_path):
+    from pyspark.sql import types as T
+    from riskspark.sources import files
+    (tmp_path / "h.json").write_text('{"record_id": 1, "probability": 0.5}\n{"record_id": 2, "prob\n\n{"record_id": 3}\n')
+    schema = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("probability", T.DoubleType())])
+    good = sorted(map(tuple, files.read_history_json(spark, str(tmp_path / "h.json"), schema).collect()))
+    assert good == [(1, 0.5), (3, None)]
+    bad = files.malformed_history_json(spark, str(tmp_path / "h.json"), schema)
+    assert [r["raw"] for r in bad.collect()] == ['{"record_id": 2, "prob']
+    (tmp_path / "a.json").write_text('[{"record_id": 4, "probability": 0.25},\n {"record_id": 5}]')
+    many = files.read_history_json(spark, str(tmp_path / "a.json"), schema, multi_line=True)
+    assert sorted(r["record_id"] for r in many.collect()) == [4, 5]
+    assert files.malformed_history_json(spark, str(tmp_path / "a.json"), schema, multi_line=True).count() == 0
+
+
+def test_bad_requests_are_rejected_before_scoring(spark):
+    from riskspark.operators import validate
+    df = spark.createDataFrame([(1, "1.5", 2.0), (2, "x", 2.0), (3, None, None), (4, "2", float("nan"))], "id int, a string, b double")
+    good, bad = validate.split_requests(df, ["a", "b"])
+    assert [tuple(r) for r in good.collect()] == [(1, 1.5, 2.0)]
+    assert {r["id"]: r["bad_features"] for r in bad.collect()} == {2: ["a"], 3: ["a", "b"], 4: ["b"]}
+
+
+def test_time_text_does_not_depend_on_the_session_zone(spark):
+    from riskspark.functions import text
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00' AS t UNION ALL SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00.5'")
+        got = sorted(map(tuple, df.select(text.iso_text("t"), text.display_time("t")).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("2024-03-10T02:30:00", "Mar 10 2024, 02:30"), ("2024-03-10T02:30:00.500000", "Mar 10 2024, 02:30")]
