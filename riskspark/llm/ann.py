@@ -4,7 +4,7 @@ Every tree gives a vector a long string of bits (the signs of random projections
 holds blocks of vectors; for each tree of a block the strings lie in a sorted array beside the
 order of their vectors, so a prefix is a range of the array. A query descends in every tree to
 its longest matching prefix, then all trees ascend together, one bit at a time, until the ranges
-hold enough candidates; these are scored exactly. The best of every block meet in one group per
+hold enough ids other than the query's own, or the whole block; these are scored exactly. The best of every block meet in one group per
 query, which keeps the nearest :data:`K`.
 
 The query set is taken in chunks of a bounded size, each broadcast to one pass over the blocks:
@@ -31,8 +31,8 @@ K = 5
 TREES, BITS, SEED = 48, 32, 7
 #: Vectors of a block, and queries of a chunk.
 BLOCK, CHUNK = 4096, 8192
-#: Candidates (counted in every tree that meets them) at which the ascent ends, as a share of the block.
-WANTED = 0.75
+#: Ids other than the query's own at which the ascent ends, as a share of the block's ids, and the least of them.
+WANTED, LEAST = 0.75, 256
 
 BLOCKS = "dim int, ids binary, vectors binary, norms binary, strings binary, places binary, repeats boolean"
 
@@ -69,12 +69,22 @@ def _vectors(batch: pa.RecordBatch):
         yield int(d), ids[at], flat[offs[at][:, None] + np.arange(d)]
 
 
+def distinct_rows(ids: np.ndarray, v: np.ndarray):
+    """The rows without those that repeat both id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, v
+    rows = np.column_stack([ids.astype("<i8").view("<f8"), v.astype("<f8")]).view(f"V{8 * (v.shape[1] + 1)}")
+    at = np.sort(np.unique(rows.ravel(), return_index=True)[1])
+    return ids[at], v[at]
+
+
 def build_blocks(vectors: DataFrame) -> DataFrame:
     """Rows of :data:`BLOCKS`: at most :data:`BLOCK` vectors each, with the trees' sorted arrays."""
     def run(batches):
         held: dict[int, list] = {}
 
         def block(dim, ids, v):
+            ids, v = distinct_rows(ids, v)
             s = bit_strings(v, projections(dim))
             order = np.argsort(s, axis=1, kind="stable").astype(np.uint16)
             row = (dim, ids.astype("<i8").tobytes(), v.astype("<f8").tobytes(),
@@ -100,14 +110,15 @@ def build_blocks(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, BLOCKS)
 
 
-def ascend(strings: np.ndarray, asked: np.ndarray, wanted: int):
-    """First and past place of every (tree, query): the ranges where the common ascent ended.
+def ascend(strings: np.ndarray, asked: np.ndarray, wanted: int, take) -> None:
+    """Calls ``take(query, first, past)`` with the ranges of every tree, from the longest prefix up.
 
+    A query ascends until ``take`` returns true; at the root its ranges are the whole block. Depths
+    where the ranges of all trees sum to less than ``wanted`` are passed over.
     ``strings`` (trees x vectors) is sorted in each tree, ``asked`` is trees x queries.
     """
     trees, n = strings.shape
     q = asked.shape[1]
-    first, past = np.zeros((trees, q), np.int64), np.full((trees, q), n, np.int64)
     longest = np.zeros(q, np.int64)  # longest prefix met in any tree
     for t in range(trees):
         at = np.searchsorted(strings[t], asked[t])
@@ -125,10 +136,11 @@ def ascend(strings: np.ndarray, asked: np.ndarray, wanted: int):
             a = asked[t, now]
             lo[t] = np.searchsorted(strings[t], a & ~free, side="left")
             hi[t] = np.searchsorted(strings[t], a | free, side="right")
-        done = (hi - lo).sum(0) >= wanted
-        first[:, now[done]], past[:, now[done]] = lo[:, done], hi[:, done]
+        full = np.flatnonzero((hi - lo).sum(0) >= wanted)
+        done = [i for i in full if take(now[i], lo[:, i], hi[:, i])]
         climbing = np.setdiff1d(climbing, now[done], assume_unique=True)
-    return first, past
+    for j in climbing:
+        take(j, np.zeros(trees, np.int64), np.full(trees, n, np.int64))
 
 
 def _nearest(score: np.ndarray, ids: np.ndarray, k: int, repeats: bool):
@@ -156,18 +168,26 @@ def search_blocks(blocks: DataFrame, sent, k: int, wanted: float) -> DataFrame:
                 strings = np.frombuffer(row["strings"], np.uint32).reshape(TREES, -1)
                 places = np.frombuffer(row["places"], np.uint16).reshape(TREES, -1)
                 asked = bit_strings(q, projections(row["dim"]))
-                first, past = ascend(strings, asked, min(len(ids), max(256, int(wanted * len(ids)))))
+                kinds, kind = np.unique(ids, return_inverse=True)
+                enough = min(len(kinds), max(LEAST, k, int(wanted * len(kinds))))
                 qn = np.sqrt((q * q).sum(1))
                 cols: list[list] = [[], [], [], []]
-                for j in range(len(q)):
+
+                def take(j, first, past):
                     hit = np.zeros(len(ids), bool)
                     for t in range(TREES):
-                        hit[places[t, first[t, j]:past[t, j]]] = True
+                        hit[places[t, first[t]:past[t]]] = True
+                    whole = hit.all()
                     hit &= ids != qid[j]
                     c = np.flatnonzero(hit)
+                    if not whole and (len(c) < enough or row["repeats"] and len(np.unique(kind[c])) < enough):
+                        return False
                     got, score = _nearest((v[c] * q[j]).sum(1) / (norms[c] * qn[j]), ids[c], k, row["repeats"])
                     for col, x in zip(cols, ([int(number[j])] * len(got), [int(qid[j])] * len(got), got.tolist(), score.tolist())):
                         col += x
+                    return True
+
+                ascend(strings, asked, enough, take)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                     ["number", "query_id", "vec_id", "score"])

@@ -389,6 +389,32 @@ def test_nearest_recall_and_edge_cases(spark):
     assert ann.nearest(spark, index.limit(0), index.limit(0)).count() == 0
 
 
+def test_nearest_small_blocks_and_repeated_ids(spark):
+    """Blocks of few vectors are searched whole, and repeats of the query's id do not end the ascent."""
+    g = np.random.Generator(np.random.PCG64(5))
+    tables = [[(i, g.standard_normal(16)) for i in range(n)] for n in (3, 20, 48, 100)]
+    same, own = g.standard_normal(16), g.standard_normal(16)
+    tables.append([(i, g.standard_normal(16)) for i in range(1, 241)] + [(0, same)] * 100)
+    tables.append([(i, g.standard_normal(16)) for i in range(1, 241)] + [(0, own + 0.01 * g.standard_normal(16)) for _ in range(120)])
+    for rows in tables:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, v array<double>")
+        asked = df.where("vec_id = 0").limit(1)
+        first = np.array(asked.first()["v"])
+        best = {}
+        for i, v in rows:
+            if i:
+                s = float(v @ first / np.sqrt((v @ v) * (first @ first)))
+                best[i] = max(s, best.get(i, -2.0))
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        got = ann.nearest(spark, df, asked).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+    # one block of 4,096 with a third of one id: the share of the other ids met is that of any query
+    rows = [(i, g.standard_normal(16)) for i in range(1, 2731)] + [(0, own + 0.01 * g.standard_normal(16)) for _ in range(1366)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, v array<double>")
+    asked = df.where("vec_id = 0").limit(5)
+    assert ann.nearest(spark, df.coalesce(1), asked).count() == 25
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
