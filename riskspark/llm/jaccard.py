@@ -347,7 +347,10 @@ def linked_in_blocks(opened: DataFrame, tokens: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, h, n_shingles, component_id, c) of every row of ``docs`` (doc_id, text).
+
+    ``c`` is the component's own label, null for an empty set; component_id is only its smallest doc_id.
+    """
     small_batches(spark)
     stage = Staging(spark, "jaccard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -389,7 +392,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lowest = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"))
     out = stage.write(own.join(lowest, "c", "left").select(
         "doc_id", "h", F.col("n").alias("n_shingles"),
-        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")), "result")
+        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"), "c"), "result")
     stage.drop("sets", "links-1", "links-2")
     return out
 
@@ -418,15 +421,17 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each component: the one whose doc_id names it (of equal rows, one)."""
+    """One row of each component, that of the smallest doc_id (of equal rows, one), and every row of an empty set."""
     found = jaccard_components(spark, docs)
-    one = found.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("alone")).agg(
+    one = found.where("c is not null").groupBy("c").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")).select(
         F.col("first.doc_id").alias("_d"), F.col("first.h").alias("_h"))
-    keyed = docs.withColumn("_g", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = keyed.join(one, (F.col("_g") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("_g", F.xxhash64(text))
+    words = text.rlike(r"[^\x20\x09-\x0D]")  # any: the set is not empty
+    kept = keyed.where(words).join(one, (F.col("_g") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
     again = Window.partitionBy("doc_id", "_g").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns).unionByName(docs.where(~words))
 
 
 OP1_SQL = r"""

@@ -114,6 +114,17 @@ def test_keep_one(spark, docs):
     assert ids == sorted([1, 2, 3, 4, 5, 9, 11, 12, None], key=repr) or 12 not in ids
 
 
+def test_keep_one_tells_components_of_one_id_apart(spark):
+    """Unrelated texts without an id, or with the same id, are components of their own; empty texts too."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(20))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")),
+            (8, text("e")), (3, text("f") + " end"), (None, text("f")), (None, None), (None, ""), (None, " \t"), (4, ""), (4, "")]
+    kept = jaccard.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (3, text("f") + " end"),
+            (None, None), (None, ""), (None, " \t"), (4, ""), (4, "")]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 # ---------------------------------------------------------------- 2
 
 def test_language(spark, docs, empty):
