@@ -34,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ SHINGLE = 5
 #: A link: NUMBER * intersection >= SHARE * union.
 NUMBER, SHARE = 100, 75
 BINS, BANDS = 64, 16
-#: Tokens a task holds before it deals them, and tokens of one hash range.
-HELD, RANGE = 1_500_000, 1_000_000
+#: Tokens a task holds before it deals them, tokens of one hash range, and of a piece that needs no range.
+HELD, RANGE, PIECE = 1_500_000, 1_000_000, 100_000
 #: Tokens of one block of an opened group, and of the nodes that ask it in one task.
 BLOCK, ASKERS = 4_000, 200_000
 
@@ -172,13 +173,18 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the matrix of prefix tokens
 
-def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
-    """(token, node, n) of the prefix tokens that at least two nodes hold."""
+def dealt_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
+    """Prefix tokens by ``part``: a hash range, or from ``n_ranges`` on tokens that a task saw in several nodes.
+
+    The latter need no grouping; they come in pieces of at most :data:`PIECE` rows, spread by a hash
+    of the task's partition and the piece.
+    """
     shape = "part int, tokens binary, nodes binary, sizes binary, many binary"
 
     def deal(batches):
         held: list = []
         size = serial = 0
+        partition = TaskContext.get().partitionId()
 
         def dealt():
             nonlocal serial
@@ -190,8 +196,12 @@ def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             many = np.diff(np.append(first, len(tokens))) > 1
             rest = np.repeat(many, np.diff(np.append(first, len(tokens))))
-            parts = [(n_ranges + serial, tokens[rest], nodes[rest], sizes[rest], np.ones(int(rest.sum()), bool))]
-            serial = (serial + 1) % n_ranges
+            parts, several = [], np.flatnonzero(rest)
+            for i in range(0, len(several), PIECE):
+                at = several[i:i + PIECE]
+                spread = int(mix(np.array([(partition << 32) + serial + 1], np.uint64))[0] % np.uint64(n_ranges))
+                parts.append((n_ranges + spread, tokens[at], nodes[at], sizes[at], np.ones(len(at), bool)))
+                serial += 1
             place = (((tokens[first] >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(place, np.arange(n_ranges + 1))
             for r in range(n_ranges):
@@ -216,6 +226,11 @@ def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
         if held:
             yield from dealt()
 
+    return docs.select("text").mapInArrow(deal, shape)
+
+
+def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
+    """(token, node, n) of the prefix tokens that at least two nodes hold."""
     def shared(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
         tokens, nodes, sizes, many = read("tokens", np.uint64), read("nodes", np.int64), read("sizes", np.int32), read("many", bool)
@@ -230,7 +245,7 @@ def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
             tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
         return pa.table({"token": tokens.view(np.int64), "node": nodes, "n": sizes.astype(np.int64)})
 
-    return docs.select("text").mapInArrow(deal, shape).groupBy("part").applyInArrow(shared, "token long, node long, n long")
+    return dealt_prefix_tokens(docs, n_ranges).groupBy("part").applyInArrow(shared, "token long, node long, n long")
 
 
 def _grouped(df: DataFrame, groups: DataFrame) -> DataFrame:

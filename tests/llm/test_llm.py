@@ -107,6 +107,22 @@ def test_jaccard_blocks_of_an_opened_group(spark, monkeypatch):
     assert got
 
 
+def test_jaccard_tokens_of_several_nodes_spread_over_groups(spark):
+    """Tokens that each of many small partitions saw in several nodes do not meet in one group."""
+    rows = [(" ".join(f"p{p}w{j}" for j in range(40)) + f" end{k}",) for p in range(32) for k in range(3)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 32), "text string")
+    dealt = jaccard.dealt_prefix_tokens(df, 8)
+    size = dealt.selectExpr("part", "length(tokens) as size").where("part >= 8").groupBy("part").sum("size").collect()
+    assert len(size) >= 5 and max(s for _, s in size) <= 0.4 * sum(s for _, s in size)
+    held = {}
+    for (t,) in rows:
+        x = jaccard.shingle_sets(*jaccard.utf8(jaccard.pa.array([t])))[0]
+        for k in x[:jaccard.prefix_size(len(x))].view(np.int64).tolist():
+            held.setdefault(k, set()).add(jaccard.node_of(x))
+    got = [(r["token"], r["node"]) for r in jaccard.shared_prefix_tokens(df, 8).collect()]
+    assert sorted(got) == sorted((k, n) for k, nodes in held.items() if len(nodes) > 1 for n in nodes)
+
+
 def test_keep_one(spark, docs):
     kept = jaccard.keep_one(spark, docs)
     assert kept.columns == docs.columns
