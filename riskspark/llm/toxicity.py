@@ -7,13 +7,16 @@ forward and a backward GRU; attention over the steps pools them into one logit.
 is the logistic of a scaled largest logit over *all* its windows, so whole texts are read.
 
 Training is in numpy on the driver, on a bounded sample: at most :data:`TRAIN_ROWS` labelled rows
-per class (smallest hash of doc_id first) with texts of at most :data:`TRAIN_CHARS` characters.
+per class that have a text (smallest hash of doc_id first). A text of more than :data:`TRAIN_CHARS`
+bytes gives as many of its windows: a first network, of the texts below it if they have both classes and else
+of evenly spread windows, scores all windows of the whole text, and the highest teach the second network.
 A toxic text's label goes to its highest window (and at first to all). The trained arrays, at
 most :data:`MAX_WORDS` words, are broadcast (a few MB whatever the input).
 
 Defined results: null and empty texts score as the network scores no words; rows with a null
 doc_id or label teach nothing (a null doc_id counts as held out); repeated rows score alike; if a
-class has no training row every text scores the share of toxic rows, 0 without any.
+class has no training row every text scores the share of toxic rows, 0 without any, and no
+document is rejected.
 """
 
 from __future__ import annotations
@@ -351,18 +354,77 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def excerpts(model: dict | None, buf: np.ndarray, offs: np.ndarray) -> list[str]:
+    """Of each text the windows of highest logit (without a model evenly spread ones), in their order,
+    up to :data:`TRAIN_CHARS` bytes; shorter texts whole."""
+    s, e, row = word_spans(buf, offs, WORD_BYTES)
+    first, size, doc = windows_of(np.bincount(row, minlength=len(offs) - 1))
+    begin = np.searchsorted(doc, np.arange(len(offs)))
+    if model is None:
+        z = -(((np.arange(len(doc)) - begin[doc]) * 0.6180339887498949) % 1)
+    else:
+        z = window_logits(model["net"], _Slice(buf, offs, model["vocabulary"]))
+    out = []
+    for i in range(len(offs) - 1):
+        if offs[i + 1] - offs[i] <= TRAIN_CHARS:
+            out.append(buf[offs[i]:offs[i + 1]].tobytes().decode())
+            continue
+        kept, left = [], TRAIN_CHARS
+        for j in (begin[i] + np.argsort(-z[begin[i]:begin[i + 1]], kind="stable")).tolist():
+            if not size[j]:
+                break
+            lo, hi = int(s[first[j]]), int(e[first[j] + size[j] - 1])
+            if kept and hi - lo > left:
+                break
+            kept.append((lo, min(hi, lo + TRAIN_CHARS)))
+            left -= hi - lo
+        pieces: list[list[int]] = []
+        for lo, hi in sorted(kept):
+            if pieces and lo <= pieces[-1][1]:
+                pieces[-1][1] = max(hi, pieces[-1][1])
+            else:
+                pieces.append([lo, hi])
+        out.append("\n".join(buf[lo:hi].tobytes().decode(errors="ignore") for lo, hi in pieces))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Train on the bounded sample of labelled rows that are not held out."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic")
-    ids = None
-    for y in (0, 1):
-        part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_ROWS)
-        ids = part if ids is None else ids.unionByName(part)
-    found = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
-    got = []
-    for y in (0, 1):
-        got += found.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS).collect()
-    return train([r["text"] for r in got], np.array([r["toxic"] for r in got]))
+    """Train on the bounded sample of labelled rows that are not held out and have a text."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    rows = rows.join(texts.select("doc_id"), "doc_id", "left_semi")
+    ids = [rows.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
+           for y in (0, 1)]
+
+    def sample(model):
+        """(text, label, whether it is an excerpt) of the training rows."""
+        def run(batches):
+            for b in slices(batches, "text"):
+                buf, offs = utf8(b.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(excerpts(model, buf, offs), pa.string()), pa.array(np.diff(offs) > TRAIN_CHARS)],
+                    ["doc_id", "text", "cut"])
+
+        got = []
+        for y in (0, 1):
+            if ids[y]:
+                known = docs.sparkSession.createDataFrame(ids[y], "doc_id long")
+                part = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, text string, cut boolean")
+                got += [(r["text"], y, r["cut"]) for r in part.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS).collect()]
+        return got
+
+    got = sample(None)
+    whole = [g for g in got if not g[2]]
+    several = len({y for _, y, _ in whole}) == 2
+    model = train(*_columns(whole if several else got))
+    if len(whole) == len(got) or "constant" in model:
+        return model
+    return train(*_columns(sample(model)))
+
+
+def _columns(rows: list) -> tuple[list[str], np.ndarray]:
+    return [r[0] for r in rows], np.array([r[1] for r in rows])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,8 +437,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame) -> DataFrame:
-    """``docs`` without those that score 0.5 or more."""
+    """``docs`` without those that score 0.5 or more (all, if no label of one class can teach)."""
     model = fit(labelled_docs, labels)
+    if "constant" in model:  # one class is absent: nothing was learned that could reject
+        return docs
     same = docs.withColumn("_text", F.col("text"))  # a null text stays null
     kept = score(spark, text_column(same), model).where(F.col("_score") < 0.5)
     return kept.withColumn("text", F.col("_text")).select(*docs.columns)

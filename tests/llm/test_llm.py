@@ -305,6 +305,25 @@ def test_toxicity_learns_and_scores_all_windows(spark, docs, empty):
     assert toxicity.train(["a"], np.array([1])) == {"constant": 1.0} and toxicity.train([], np.array([])) == {"constant": 0.0}
 
 
+def test_toxicity_learns_from_long_texts_and_rejects_nothing_without_a_class(spark):
+    g = np.random.Generator(np.random.PCG64(8))
+    words = ["".join(g.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(400):
+        w = g.choice(words, 1400).tolist()  # 7,000 characters
+        if i % 2:
+            at = int(g.integers(len(w) - 12))
+            w[at:at + 12] = ["vilestuff"] * 12
+        rows.append((i, " ".join(w)))
+        marks.append((i, i % 2))
+    assert min(len(t) for _, t in rows) > toxicity.TRAIN_CHARS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    kept = {r["doc_id"] for r in toxicity.keep_clean(spark, docs, labels, docs).collect()}
+    assert sum(i % 2 == 0 for i in kept) >= 190 and sum(i % 2 for i in kept) <= 10
+    assert toxicity.keep_clean(spark, docs, labels.where("toxic = 1"), docs).count() == 400
+
+
 def test_gradients_match_differences():
     g = np.random.Generator(np.random.PCG64(4))
     m = {k: v.astype(np.float64) for k, v in toxicity.new_model(np.arange(3, dtype=np.uint64)).items()}
