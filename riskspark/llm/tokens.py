@@ -2,7 +2,8 @@
 
 Texts are cut only where the tokenizer's own pre-tokenizer always cuts: for byte-level BPE before
 a single space between two other characters, for word BPE at any space. The ids of a chunk are
-then independent of its neighbours, so joined chunks equal the encoding of the whole text.
+then independent of its neighbours, so joined chunks equal the encoding of the whole text. Strings of
+special tokens hold no space, and become their ids as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.piece = self.tok.model.tokenize
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(True) <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"

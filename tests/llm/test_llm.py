@@ -203,6 +203,19 @@ def _ids(path, texts, end):
     return [np.array(e.ids + [end], "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_token_strings_as_the_library_has_them():
+    from tokenizers import Tokenizer
+    from riskspark.llm.tokens import ChunkEncoder
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>two.", "a  <|startoftext|>  b <|endoftext|>\n<|endoftext|> c",
+             "Plain words, and <|endoftext|", " <|startoftext|>x <|endoftext|> ", "\t<|endoftext|> \u3000<|endoftext|> é"]
+    for path, words in ((tokenfiles.byte_bpe(), False), (packing.word_bpe(), True)):
+        plain, ours = Tokenizer.from_file(path), ChunkEncoder(path, words)
+        special = {plain.token_to_id("<|endoftext|>")}
+        for t, got in zip(texts, ours.encode(texts)):
+            assert np.frombuffer(got, ours.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert special <= set(np.frombuffer(ours.encode(texts[:1])[0], ours.dtype).tolist())
+
+
 def test_token_files(spark, docs, empty):
     files = tokenfiles.TokenFiles.write(spark, docs, tokenfiles.byte_bpe())
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in files.read(docs).collect()]
