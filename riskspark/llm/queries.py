@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, jaccard, language, license, packing, pii, substring, tokenfiles, toxicity
+from . import ann, chat, decontam, jaccard, language, lexical, license, packing, pii, spelling, substring, tokenfiles, toxicity
 
 Q = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -16,10 +16,14 @@ Q = {
     "op9_pii": pii.op9_pii,
     "op10_nearest": ann.op10_nearest,
     "op11_substring": substring.op11_substring,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_spelling": spelling.op13_spelling,
 }
 SQL = {
     "op1_ngram_jaccard": jaccard.OP1_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op11_substring": substring.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
