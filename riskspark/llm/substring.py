@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import Staging, mix, read_table, slices, small_batches, utf8, word_spans
 
 WIDTH = 20
-#: Bytes of text whose windows one hash range gets (about two million windows).
-RANGE_BYTES = 12_000_000
+#: Bytes of text whose windows one hash range gets (about 1.3 million windows).
+RANGE_BYTES = 8_000_000
 #: Windows that a task counts by itself before it sends them on.
-BLOCK_WINDOWS = 1_500_000
+BLOCK_WINDOWS = 1_000_000
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1_000_000
 #: Order of a null doc_id.
@@ -45,6 +45,7 @@ _PLACE = _G.integers(1, 2**63, 1024, dtype=np.int64).astype(np.uint64) | np.uint
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 RANGES = "part int, hash binary, doc binary, start binary, known boolean"
+PLACES = "bucket int, doc binary, start binary, hash binary"
 FOUND = "doc long, start binary, hash binary"
 KEPT = ("doc_id long, n_words long, n_removed long, intervals array<struct<first:long,past:long>>, kept string")
 
@@ -132,15 +133,24 @@ def _earliest_first(h: np.ndarray, doc: np.ndarray, start: np.ndarray):
     return order, (d != d[lead]) | (s != s[lead]), twin
 
 
-def _send(part, h, doc, start, known: bool):
+def _by(part: np.ndarray):
+    """Places of each value of ``part``, in order."""
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    rows = []
-    for piece in np.split(order, cuts):
-        if len(piece):
-            rows.append((int(part[piece[0]]), h[piece].tobytes(), _planes(_deltas(doc[piece])),
-                         _planes(start[piece].astype(np.uint32)), known))
-    return rows
+    return [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
+
+
+def _send(part, h, doc, start, known: bool):
+    return [(int(part[x[0]]), (_top(h[x]) if known else h[x]).tobytes(), _planes(_deltas(doc[x])),
+             _planes(start[x].astype(np.uint32)), known) for x in _by(part)]
+
+
+def _top(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _bucket(doc: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Where the repeated windows of a document are gathered (a very long one in several pieces)."""
+    return (mix(doc.view(np.uint64) + (start >> 12).astype(np.uint64) * _BASES[0]) % np.uint64(n)).astype(np.int32)
 
 
 def _batch(rows, schema: str):
@@ -154,6 +164,7 @@ def _batch(rows, schema: str):
 def _block(parts: list, n_ranges: int):
     """Rows of one block: its distinct windows by range, and those that it knows to be repeated."""
     h1, h2, doc, start = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     order, later, twin = _earliest_first(h1, doc, start)
     once, gone = order[~later & ~twin], order[later & ~twin]  # the earliest stands for its twins
     once.sort()  # back to the order of the texts: near documents, short steps
@@ -161,8 +172,7 @@ def _block(parts: list, n_ranges: int):
     where = (((mix(h2[once]) >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int32)
     rows = _send(where, h1[once], doc[once], start[once], False)
     if len(gone):  # dealt by place, not by hash: a hot window does not gather anywhere
-        place = mix(doc[gone].view(np.uint64) + (start[gone] >> 8).astype(np.uint64) * _BASES[0])
-        rows += _send((place % np.uint64(n_ranges)).astype(np.int32), h1[gone], doc[gone], start[gone], True)
+        rows += _send(_bucket(doc[gone], start[gone], n_ranges), h1[gone], doc[gone], start[gone], True)
     return rows
 
 
@@ -175,38 +185,50 @@ def _scanner(width: int, n_ranges: int):
             if not len(h1):
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            parts.append((h1, h2, ids[row].astype(np.int64), start))
+            parts.append((h1, h2, ids[row].astype(np.int64), start.astype(np.int32)))
             held += len(h1)
             if held >= BLOCK_WINDOWS:
                 yield _batch(_block(parts, n_ranges), RANGES)
                 parts, held = [], 0
+            del h1, h2, row, start
         if parts:
             yield _batch(_block(parts, n_ranges), RANGES)
     return run
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Repeated windows of one hash range, by document."""
+def _judge(n_ranges: int):
+    """Repeated windows of one hash range, packed by the bucket of their document."""
+    def run(table: pa.Table) -> pa.Table:
+        t = table.to_pydict()
+        rows = [(p, d, s, h) for p, h, d, s, known in zip(*t.values()) if known]
+        fresh = [(np.frombuffer(h, np.uint64), _undeltas(_unplanes(d, np.uint64)), _unplanes(s, np.uint32).astype(np.int64))
+                 for h, d, s, known in zip(t["hash"], t["doc"], t["start"], t["known"]) if not known]
+        if fresh:
+            h, d, s = (np.concatenate(x) for x in zip(*fresh))
+            order, later, twin = _earliest_first(h, d, s)
+            pick = np.sort(order[later & ~twin])
+            h, d, s = h[pick], d[pick], s[pick]
+            where = _bucket(d, s, n_ranges)
+            rows += [(int(where[x[0]]), _planes(_deltas(d[x])), _planes(s[x].astype(np.uint32)), _top(h[x]).tobytes())
+                     for x in _by(where)]
+        return pa.Table.from_batches([_batch(rows, PLACES)])
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a bucket."""
     t = table.to_pydict()
-    gone, fresh = [], []
-    for h, d, s, known in zip(t["hash"], t["doc"], t["start"], t["known"]):
-        (gone if known else fresh).append((np.frombuffer(h, np.uint64), _undeltas(_unplanes(d, np.uint64)),
-                                           _unplanes(s, np.uint32).astype(np.int64)))
-    if fresh:
-        h, d, s = (np.concatenate(x) for x in zip(*fresh))
-        order, later, twin = _earliest_first(h, d, s)
-        pick = order[later & ~twin]
-        gone.append((h[pick], d[pick], s[pick]))
-    h, d, s = (np.concatenate(x) for x in zip(*gone))
+    d = np.concatenate([_undeltas(_unplanes(x, np.uint64)) for x in t["doc"]])
+    s = np.concatenate([_unplanes(x, np.uint32) for x in t["start"]])
+    h = np.concatenate([np.frombuffer(x, np.uint32) for x in t["hash"]])
     order = np.lexsort((h, s, d))
     h, d, s = h[order], d[order], s[order]
-    new = np.ones(len(h), bool)
+    new = np.ones(len(h), bool)  # a repeated row tells the same twice
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])
     h, d, s = h[new], d[new], s[new]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]]) if len(d) else [0]
-    rows = [(int(d[x]), s[x:y].astype(np.uint32).tobytes(), (h[x:y] >> np.uint64(32)).astype(np.uint32).tobytes())
-            for x, y in zip(cuts[:-1], cuts[1:])]
-    return pa.Table.from_batches([_batch(rows, FOUND)])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
+    return pa.Table.from_batches([_batch([(int(d[x]), s[x:y].tobytes(), h[x:y].tobytes())
+                                          for x, y in zip(cuts[:-1], cuts[1:])], FOUND)])
 
 
 def _cut(width: int):
@@ -260,7 +282,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH) ->
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-size // RANGE_BYTES))
     dealt = rows.select("doc", "text").mapInArrow(_scanner(width, n_ranges), RANGES)
-    found = stage.write(dealt.groupBy("part").applyInArrow(_judge, FOUND), "found")
+    packed = stage.write(dealt.groupBy("part").applyInArrow(_judge(n_ranges), PLACES), "packed")
+    del dealt
+    stage.free()
+    found = stage.write(packed.groupBy("bucket").applyInArrow(_gather, FOUND), "found")
+    stage.drop("packed")
+    stage.free()
     by = found.groupBy("doc").agg(F.collect_list(F.struct("start", "hash")).alias("found")) \
               .withColumnRenamed("doc", "of")
     joined = rows.join(by, F.col("doc") == F.col("of"), "left").select("doc", "text", "found", "id")
