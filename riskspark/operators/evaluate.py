@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_small
-from .ordered import IDX, global_prefix, grouped_prefix
+from .ordered import IDX, global_prefix, grouped_prefix, null_safe
+from .staged import Staged
 
 
 def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
@@ -54,13 +55,16 @@ def _roc_frame(df: DataFrame, score_col: str, label_col: str, group_cols: list[s
     grouped = clean.groupBy(*group_cols, score_col).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("fp"))
-    grouped = grouped.withColumn("_neg", -F.col(score_col))
+    # Read twice (order and totals): the distinct scores are counted once.
+    grouped = Staged(df.sparkSession, "roc").write(grouped.withColumn("_neg", -F.col(score_col)), "scores")
     if group_cols:
         ranked = grouped_prefix(grouped, group_cols, ["_neg"], ["tp", "fp"], n_buckets=n_buckets)
         ranked = ranked.withColumnRenamed("_gcum_tp", "cum_tp").withColumnRenamed("_gcum_fp", "cum_fp") \
                        .withColumnRenamed("_gidx", "point")
-        totals = grouped.groupBy(*group_cols).agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
-        return ranked.join(totals, group_cols)
+        totals = grouped.groupBy(*[F.col(c).alias(f"_t_{c}") for c in group_cols]).agg(
+            F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
+        known = broadcast_if_small(Staged(df.sparkSession, "roc").write(totals, "totals"))  # a row per group
+        return ranked.join(known, null_safe(group_cols, [f"_t_{c}" for c in group_cols])).drop(*[f"_t_{c}" for c in group_cols])
     ranked = global_prefix(grouped, ["_neg"], ["tp", "fp"], n_buckets=n_buckets)
     ranked = (ranked.withColumnRenamed("_cum_tp", "cum_tp").withColumnRenamed("_cum_fp", "cum_fp")
               .withColumnRenamed(IDX, "point").drop("_cnt_tp", "_cnt_fp"))
@@ -99,11 +103,12 @@ def roc_auc(df: DataFrame, score_col: str = "score", label_col: str = "label",
 
 def compare_models(scored_tall: DataFrame, model_col: str = "model", score_col: str = "score",
                    label_col: str = "label", threshold: float = 0.5) -> DataFrame:
-    """E5: per model accuracy and ROC-AUC from a tall (model, label, score) frame."""
+    """E5: per model (NULL is one) accuracy and ROC-AUC from a tall (model, label, score) frame."""
     pred = scored_tall.withColumn("prediction", (F.col(score_col) > F.lit(threshold)).cast("int"))
     acc = classification_metrics(pred, label_col, "prediction", [model_col]).select(model_col, "accuracy")
     auc = roc_auc(scored_tall, score_col, label_col, [model_col])
-    return acc.join(auc, model_col)
+    auc = auc.withColumnRenamed(model_col, "_model")
+    return acc.join(auc, F.col(model_col).eqNullSafe(F.col("_model"))).drop("_model")
 
 
 def best_model(comparison: DataFrame, metric: str = "accuracy", model_col: str = "model",

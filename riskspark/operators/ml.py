@@ -7,16 +7,26 @@ applied as column expressions; estimators are ``pyspark.ml`` ones whose fits run
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassifier)
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import (BOOST_DEPTH, BOOST_ITERS, BOOST_STEP, FOREST_TREES, LOGREG_MAX_ITER,
                        SPLIT_SEED, TEST_FRACTION)
-from .evaluate import classification_metrics, roc_auc
+from .clean import column_medians
+from .evaluate import best_model, classification_metrics, roc_auc
+
+#: Split candidates of a feature in the forest (finer than Spark's default of 32).
+FOREST_BINS = 256
 
 
 # ------------------------------------------------------------------ scaling (M1, M2)
@@ -40,18 +50,27 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]], prefix:
 
 def preparation(train: DataFrame, cols: list[str]) -> SQLTransformer:
     """A10 + M1 + M2 as a pipeline stage that is saved with the model: NULL and NaN become the
-    train split's median (``percentile_approx``), then (x - mean) / population sd, into ``_z_*``."""
-    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    row = train.agg(*[F.percentile_approx(v, 0.5, 100_000).alias(f"d_{c}") for c, v in known.items()]).first()
-    filled = train.select(*[F.coalesce(v, F.lit(row[f"d_{c}"] or 0.0)).alias(c) for c, v in known.items()])
-    scaler = fit_population_scaler(filled, cols)
+    fitted rows' exact, interpolated median (T2), then (x - mean) / population sd, into ``_z_*``."""
+    known = train.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    medians = {c: m if m is not None else 0.0 for c, m in column_medians(known, cols).items()}
+    scaler = fit_population_scaler(known.na.fill(medians), cols)
     parts = []
     for c, (m, s) in scaler.items():
-        x = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(row[f'd_{c}'] or 0.0)!r}D)"
+        x = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(medians[c])!r}D)"
         parts.append(f"({x} - ({float(m or 0.0)!r}D)) / {float(s or 1.0)!r}D AS `_z_{c}`")
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
+def logistic_pipeline(spark: SparkSession, cols: list[str], coefficients: list[float], intercept: float) -> PipelineModel:
+    """A fitted pipeline from coefficients known beforehand (a model trained elsewhere): raw features
+    to P(class 1), saved, loaded and scored like a trained one."""
+    fitted = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"LogisticRegression_{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(coefficients)), float(intercept))
+    model = LogisticRegressionModel(fitted)
+    model._resetUid(fitted.uid())
+    return PipelineModel([VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error"), model])
+
+
 # ------------------------------------------------------------------ split
 
 def deterministic_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
@@ -78,7 +97,8 @@ def candidate_estimators(n_train: int, seed: int = SPLIT_SEED, features: str = "
                                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                                   standardization=False),
         "Random Forest": RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=FOREST_TREES,
-                                                maxDepth=30, featureSubsetStrategy="sqrt", seed=seed),
+                                                maxDepth=30, maxBins=FOREST_BINS, featureSubsetStrategy="sqrt",
+                                                seed=seed),
         "Gradient Boosting": GBTClassifier(featuresCol=features, labelCol=label, maxIter=BOOST_ITERS,
                                            stepSize=BOOST_STEP, maxDepth=BOOST_DEPTH, seed=seed),
     }
@@ -97,13 +117,23 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
             .drop("rawPrediction", "features", *[c for c in out.columns if c.startswith("_z_")]))
 
 
+def score_by_model(models: dict[str, PipelineModel], df: DataFrame, model_col: str = "model_used") -> DataFrame:
+    """M8: each row scored by the pipeline its ``model_col`` names; one filtered pass per model."""
+    parts = [score(m, df.where(F.col(model_col) == F.lit(k))) for k, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "label",
                       estimators: dict | None = None, test_fraction: float = TEST_FRACTION,
                       seed: int = SPLIT_SEED, key_cols: list[str] | None = None,
-                      scale: bool = True) -> tuple[DataFrame, dict[str, PipelineModel], str]:
+                      scale: bool = True, fit_scope: str = "train") -> tuple[DataFrame, dict[str, PipelineModel], str]:
     """M9 + E5 + A18: fit every candidate on the train split, evaluate on the test split,
     pick the best by accuracy (strict ``>``: the first listed wins ties).
 
+    Medians and scales are fitted on the train split, or with ``fit_scope="all"`` on all rows before
+    the split, as the training script does (T8); either way they are a stage of every returned
+    pipeline, so raw rows are scored as they were trained.
+
     Returns the comparison frame (model, position, accuracy, precision, recall, f1_score,
     roc_auc), the fitted pipelines and the best model's name.
     """
@@ -113,11 +143,11 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
                                test_fraction, seed, key_cols=key_cols or [*feature_cols, label_col])
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    # Medians and scales are fitted on the train split only (the reference fits on all rows: T8)
-    # and are a stage of every returned pipeline, so raw rows are scored as they were trained.
-    before = [preparation(train, feature_cols)] if scale else []
-    train = train.persist()
+    if fit_scope not in ("train", "all"):
+        raise ValueError("fit_scope is train or all")
+    train, test = train.persist(), test.persist()
     n_train = train.count()
+    before = [preparation(data if fit_scope == "all" else train, feature_cols)] if scale else []
     estimators = estimators or candidate_estimators(n_train, seed, label=label_col)
     inputs = [f"_z_{c}" for c in feature_cols] if scale else feature_cols
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
@@ -136,6 +166,7 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
         rows.append((name, pos, mrow["accuracy"], mrow["precision"], mrow["recall"], mrow["f1_score"],
                      arow["roc_auc"]))
     train.unpersist()
+    test.unpersist()
     results = spark.createDataFrame(rows, "model string, position int, accuracy double, precision double, "
                                           "recall double, f1_score double, roc_auc double")
     best = None
@@ -163,11 +194,59 @@ def feature_importance(model: PipelineModel, feature_cols: list[str], spark=None
                 .orderBy(F.desc("importance"), F.asc("feature"))
 
 
+def importance_table(models: dict[str, PipelineModel], feature_cols: list[str], spark) -> DataFrame:
+    """Every model's importances with their shades and :func:`with_ranks`."""
+    rows = None
+    for name, model in models.items():
+        one = minmax_shade(feature_importance(model, feature_cols, spark)).withColumn("model", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return with_ranks(rows)
+
+
+def with_ranks(importances: DataFrame) -> DataFrame:
+    """Both orders of (model, feature, importance) as columns, so they survive a union or a write:
+    ``rank`` from the largest, ``rank_ascending`` from the smallest as an ascending arg-sort; ties by
+    feature. One row per model and feature."""
+    down = Window.partitionBy("model").orderBy(F.desc("importance"), F.asc("feature"))
+    up = Window.partitionBy("model").orderBy(F.asc("importance"), F.asc("feature"))
+    return importances.withColumn("rank", F.row_number().over(down)).withColumn("rank_ascending", F.row_number().over(up))
+
+
+def run_summary(data: DataFrame, feature_cols: list[str], comparison: DataFrame, metrics: DataFrame, target: str,
+                fit_scope: str = "train", test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """One row per fact of a training run, ``(section, item, value, number)``: the data set, the
+    preparation, the candidates in their order, the selected model and its metrics; a fact is a text
+    or a number. ``comparison`` has model, position and accuracy; ``metrics`` one row per model with
+    the metrics. Everything is small but the row count, which is one aggregate over ``data``."""
+    spark = data.sparkSession
+    best = best_model(comparison, "accuracy", "model", "position").select(F.col("model").alias("_best"))
+    scope = "train split" if fit_scope == "train" else "all rows"
+    fixed = [("dataset", "features", None, float(len(feature_cols))), ("dataset", "target", target, None),
+             ("preparation", "missing values", f"median of {scope}", None),
+             ("preparation", "scaling", f"mean and population sd of {scope}", None),
+             ("preparation", "test share", None, float(test_fraction)), ("selection", "criterion", "highest accuracy", None)]
+    rows = spark.createDataFrame(fixed, "section string, item string, value string, number double")
+
+    def fact(df: DataFrame, section: str, item, value=None, number=None) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), item.alias("item"),
+                         (F.lit(None) if value is None else value).cast("string").alias("value"),
+                         (F.lit(None) if number is None else number).cast("double").alias("number"))
+
+    kept = [c for c in metrics.columns if c not in ("model", "position")]
+    of_best = metrics.join(F.broadcast(best), F.col("model") == F.col("_best")).select(F.explode(F.array(*[  # one row
+        F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("number")) for c in kept])).alias("e"))
+    for more in (fact(data.agg(F.count(F.lit(1)).alias("n")), "dataset", F.lit("rows"), number=F.col("n")),
+                 fact(comparison, "candidates", F.col("position").cast("string"), value=F.col("model")),
+                 fact(best, "selection", F.lit("best model"), value=F.col("_best")),
+                 fact(of_best, "metrics", F.col("e.item"), number=F.col("e.number"))):
+        rows = rows.unionByName(more)
+    return rows
+
+
 def minmax_shade(df: DataFrame, col: str = "importance", eps: float = 1e-9, base: float = 0.3,
                  span: float = 0.65) -> DataFrame:
     """(x - min) / (max - min + eps) and the shade base + span * n. The input is one row
     per feature, so the whole-frame window covers a handful of rows."""
-    from pyspark.sql import Window
     w = Window.partitionBy()
     n = (F.col(col) - F.min(col).over(w)) / (F.max(col).over(w) - F.min(col).over(w) + F.lit(eps))
     return df.withColumn("norm", n).withColumn("shade", F.lit(base) + F.lit(span) * F.col("norm"))

@@ -1,41 +1,37 @@
 """Globally ordered operators without a single-partition shuffle.
 
-A bare ``Window.orderBy`` plans ``Exchange SinglePartition``: the whole table goes through
-one task. Instead every row gets a *range bucket*, a pure function of its order key:
-
-1. sample the order key (bounded sample, seeded) and pick ``n-1`` boundary keys;
-2. ``_bucket`` = a balanced CASE tree of composite-key comparisons against those
-   boundaries (log2(n) comparisons per row, JVM-side, deterministic, so a lost executor
-   recomputes the same bucket; no pinning or checkpoint is needed);
-3. per-bucket window (``partitionBy(_bucket).orderBy(key)``) gives local row numbers and
-   running sums - one hash shuffle, rows of a bucket sorted together;
-4. bucket totals (partial aggregation, n rows) -> exclusive offsets over n rows ->
-   broadcast join back (n is capped, so the broadcast has a proven size bound).
-
-Boundaries are taken on the *whole* composite key, which ends in a unique tie-breaker, so a
-hot value of the first key (one timestamp holding a third of all rows) is split across
-many buckets instead of landing in one task.
+A bare ``Window.orderBy`` plans ``Exchange SinglePartition``: the whole table goes through one task.
+Instead:
+
+1. ``repartitionByRange`` on the whole order key and a sort inside the partitions; every row gets its
+   partition (``_bucket``) and its place in it, without another shuffle;
+2. the rows with these two numbers are *written*. The range boundaries come from a sample, so a
+   recomputed partition could differ; the written table pins them, and a lost executor rereads it;
+3. one small table of the buckets' counts and sums, a row a bucket, becomes the buckets' exclusive
+   offsets and is joined back (broadcast: as many rows as there are partitions).
+
+The boundaries cover the *whole* composite key, which ends in a unique tie-breaker, so a hot value
+of the first key (one timestamp holding a third of all rows, or NULL) is split over many buckets.
+NULL keys come last, NaN after all numbers. The number of buckets is ``spark.sql.shuffle.partitions``
+at every input size.
 """
 
 from __future__ import annotations
 
-import json
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows per bucket the default bucket count aims for, and the cap on the bucket count
-# (the offsets table of n rows is broadcast; the boundary array literal has n-1 entries).
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65536
-# Sample about this many rows per bucket to place boundaries (capped at SAMPLE_CAP rows).
-OVERSAMPLE = 40
-SAMPLE_CAP = 1_000_000
+from .joins import broadcast_if_small
+from .staged import Staged
 
 BUCKET = "_bucket"
+LOCAL = "_lrn"
 IDX = "_idx"
+#: Rows of one block of the rolling mean: a task sorts and sums one block.
+BLOCK_ROWS = 250_000
 
 
 def ntz_micros(col: Column) -> Column:
@@ -46,252 +42,171 @@ def ntz_micros(col: Column) -> Column:
             + (F.date_part(F.lit("SECOND"), col) * F.lit(1_000_000)).cast("long"))
 
 
-def _key_expr(df: DataFrame, c: str) -> tuple[Column, T.DataType]:
-    """Order-preserving, exactly representable key for a column (timestamps -> microseconds)."""
-    dt = df.schema[c].dataType
-    col = F.col(c)
-    if isinstance(dt, T.TimestampNTZType):
-        return ntz_micros(col), T.LongType()
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(col), T.LongType()
-    if isinstance(dt, T.DateType):
-        return F.unix_date(col), T.IntegerType()
-    if isinstance(dt, T.BooleanType):
-        return col.cast("int"), T.IntegerType()
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                       T.DoubleType, T.StringType, T.DecimalType)):
-        return col, dt
-    raise TypeError(f"unsupported order column type {dt} for {c}")
-
-
-def _key_specs(df: DataFrame, order_cols: list[str]) -> list[tuple[str, Column, T.DataType]]:
-    """Never-NULL sort keys for the order columns: per column a NULL flag (NULLs sort last),
-    for floating types a NaN flag (NaN sorts after numbers), then the value with NULL / NaN
-    replaced by a constant. Rows with a NULL order key are therefore still split across
-    buckets by the remaining keys instead of piling into the last bucket."""
-    specs = []
-    for i, c in enumerate(order_cols):
-        e, t = _key_expr(df, c)
-        specs.append((f"_ok{i}n", e.isNull().cast("int"), T.IntegerType()))
-        if isinstance(t, (T.FloatType, T.DoubleType)):
-            specs.append((f"_ok{i}x", F.coalesce(F.isnan(e).cast("int"), F.lit(0)), T.IntegerType()))
-            e = F.nanvl(e, F.lit(0.0).cast(t))
-        zero = F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast(t)
-        specs.append((f"_ok{i}", F.coalesce(e, zero), t))
-    return specs
-
-
-def _key_names(df: DataFrame, order_cols: list[str]) -> list[str]:
-    return [name for name, _, _ in _key_specs(df, order_cols)]
-
-
-def _with_keys(df: DataFrame, order_cols: list[str]) -> tuple[DataFrame, list[str], list[T.DataType]]:
-    specs = _key_specs(df, order_cols)
-    df = df.withColumns({name: e for name, e, _ in specs})
-    return df, [n for n, _, _ in specs], [t for _, _, t in specs]
-
-
-def _array_literal(values: list, dtype: T.DataType) -> Column:
-    """One constant array (folded once by the optimizer), not n literal nodes."""
-    if isinstance(dtype, T.DecimalType):
-        payload = json.dumps([str(v) for v in values])
-        return F.from_json(F.lit(payload), "array<string>").cast(T.ArrayType(dtype))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        payload = json.dumps([float(v) for v in values])
-    else:
-        payload = json.dumps(values)
-    return F.from_json(F.lit(payload), T.ArrayType(dtype))
-
-
-def _less_than(bounds: list[Column], j: Column, keys: list[Column]) -> Column:
-    """bound[j] < key, lexicographic over the (never NULL) key columns."""
-    expr = None
-    for b, k in zip(reversed(bounds), reversed(keys)):
-        bj = F.element_at(b, j)
-        here = bj < k
-        expr = here if expr is None else (here | ((bj == k) & expr))
-    return expr
-
-
-def default_buckets(total: int, spark=None) -> int:
-    n = math.ceil(max(total, 1) / ROWS_PER_BUCKET)
-    if spark is not None and total > ROWS_PER_BUCKET:
-        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(MAX_BUCKETS, n))
-
-
-def with_range_bucket(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
-                      total: int | None = None, seed: int = 17) -> DataFrame:
-    """Add order keys ``_ok..`` and ``_bucket``: contiguous ranges of the ascending
-    composite order key (NULLs last, NaN after numbers), placed by sampled boundaries.
-
-    The bucket is found by an unrolled binary search over one array literal of boundary
-    keys: log2(n) small projections per row, all inside whole-stage codegen.
-    """
-    if total is None:
-        total = df.count()
-    n = n_buckets or default_buckets(total, df.sparkSession)
-    n = max(1, min(n, MAX_BUCKETS))
-    df, keys, types = _with_keys(df, order_cols)
-    if n == 1 or total <= 1:
-        return df.withColumn(BUCKET, F.lit(0))
-    frac = min(1.0, min(n * OVERSAMPLE, SAMPLE_CAP) / float(total))
-    sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=seed)
-    # The sample is bounded (at most SAMPLE_CAP rows in expectation): one ordered task is fine.
-    order = [F.col(k).asc() for k in keys]
-    rn = F.row_number().over(Window.orderBy(*order))
-    cnt = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    picked = (sample.withColumn("_rn", rn).withColumn("_n", cnt)
-              .where(F.floor(F.col("_rn") * F.lit(n) / (F.col("_n") + F.lit(1)))
-                     > F.floor((F.col("_rn") - F.lit(1)) * F.lit(n) / (F.col("_n") + F.lit(1))))
-              .select(*keys).dropDuplicates().orderBy(*order))
-    rows = picked.collect()  # at most n - 1 boundary keys
-    if not rows:
-        return df.withColumn(BUCKET, F.lit(0))
-    m = len(rows)
-    arrays = [_array_literal([r[k] for r in rows], t) for k, t in zip(keys, types)]
-    kcols = [F.col(k) for k in keys]
-    # pos = number of boundaries strictly below the key, found with power-of-two steps.
-    step = 1
-    while step * 2 <= m:
-        step *= 2
-    df = df.withColumn(BUCKET, F.lit(0))
-    while step >= 1:
-        j = F.col(BUCKET) + F.lit(step)
-        probe = F.least(j, F.lit(m))
-        df = df.withColumn(BUCKET, F.when((j <= F.lit(m)) & _less_than(arrays, probe, kcols), j)
-                           .otherwise(F.col(BUCKET)))
-        step //= 2
-    return df
+def null_safe(left: list[str], right: list[str]) -> Column:
+    """Equality of two lists of columns in which NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)], F.lit(True))
+
+
+def pinned_order(df: DataFrame, order_cols: list[str], n_buckets: int | None = None) -> DataFrame:
+    """``df`` written in range order, with ``_bucket`` (contiguous ranges of the ascending composite
+    key) and ``_lrn`` (1-based place inside the bucket)."""
+    spark = df.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_last() for c in order_cols]
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = placed.withColumn(BUCKET, F.shiftright("_m", 33).cast("int")) \
+                   .withColumn(LOCAL, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1)).drop("_m")
+    return Staged(spark, "order").write(placed, "rows")
+
+
+def _offsets(rows: DataFrame, group_cols: list[str], sum_cols: list[str]) -> DataFrame:
+    """Written table of one row per (group, bucket): rows and sums of the buckets before it."""
+    before = Window.partitionBy(*[F.col(c) for c in group_cols]).orderBy(BUCKET) \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*group_cols, BUCKET).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s_{s}") for s in sum_cols],
+        *[F.count(s).alias(f"_c_{s}") for s in sum_cols])
+    out = totals.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols], F.col(BUCKET).alias("_ob"), "_n",
+                        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
+                        *[F.coalesce(F.sum(f"_{x}_{s}").over(before), F.lit(0)).alias(f"_o{x}_{s}")
+                          for s in sum_cols for x in "sc"])
+    return Staged(rows.sparkSession, "offsets").write(out, "offsets")
+
+
+def _prefixed(rows: DataFrame, group_cols: list[str], sum_cols: list[str], known: int | None):
+    """Rows of a pinned order with running numbers inside their group over all buckets."""
+    offsets = _offsets(rows, group_cols, sum_cols)
+    run = Window.partitionBy(BUCKET, *group_cols).orderBy(LOCAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows
+    if group_cols:
+        local = local.withColumn("_place", F.count(F.lit(1)).over(run))
+    for s in sum_cols:
+        local = local.withColumn(f"_ls_{s}", F.coalesce(F.sum(s).over(run), F.lit(0))) \
+                     .withColumn(f"_lc_{s}", F.count(s).over(run))
+    on = (F.col(BUCKET) == F.col("_ob")) & null_safe(group_cols, [f"_k_{c}" for c in group_cols])
+    out = local.join(broadcast_if_small(offsets, known_rows=known), on)
+    place = F.col("_place") if group_cols else F.col(LOCAL)
+    return out.withColumn(IDX, F.col("_on") + place), offsets
 
 
 def global_prefix(df: DataFrame, order_cols: list[str], sum_cols: list[str] | None = None,
-                  n_buckets: int | None = None, total: int | None = None,
-                  keep_bucket: bool = False) -> DataFrame:
+                  n_buckets: int | None = None) -> DataFrame:
     """Global 1-based row index ``_idx`` in ascending ``order_cols`` order (NULLs last) and,
     for each column ``s`` in ``sum_cols``, the inclusive running sum ``_cum_s`` and running
     non-NULL count ``_cnt_s``.
 
     ``order_cols`` should end in a unique column so the order is total; ties otherwise get
-    an arbitrary but consistent order within a bucket.
+    an arbitrary order, the same for every reader of the result.
     """
-    sum_cols = list(sum_cols or [])
-    if total is None:
-        total = df.count()
-    n = max(1, min(n_buckets or default_buckets(total, df.sparkSession), MAX_BUCKETS))
-    b = with_range_bucket(df, order_cols, n_buckets=n, total=total)
-    keys = _key_names(df, order_cols)
-    order = [F.col(k).asc() for k in keys]
-    w_rows = Window.partitionBy(BUCKET).orderBy(*order)
-    w_run = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = b.withColumn("_lrn", F.row_number().over(w_rows))
-    for s in sum_cols:
-        local = (local.withColumn(f"_lcum_{s}", F.coalesce(F.sum(s).over(w_run), F.lit(0)))
-                 .withColumn(f"_lcnt_{s}", F.count(s).over(w_run)))
-    if n == 1 or total <= 1:
-        # One bucket: every offset is zero, no totals job needed.
-        out = local.withColumn(IDX, F.col("_lrn").cast("long"))
-        for s in sum_cols:
-            out = out.withColumn(f"_cum_{s}", F.col(f"_lcum_{s}")).withColumn(f"_cnt_{s}", F.col(f"_lcnt_{s}"))
-        drop = ["_lrn"] + [f"_{p}_{s}" for s in sum_cols for p in ("lcum", "lcnt")] + keys
-        if not keep_bucket:
-            drop.append(BUCKET)
-        return out.drop(*drop)
-    # Bucket totals: one row per bucket, at most MAX_BUCKETS rows, so they are collected and
-    # the exclusive offsets come back as one constant array indexed by bucket (no join on
-    # the bucket column, whose derivation would otherwise be re-expanded by the optimizer).
-    aggs = [F.count(F.lit(1)).alias("_bn")]
-    for s in sum_cols:
-        aggs += [F.sum(s).alias(f"_bs_{s}"), F.count(s).alias(f"_bc_{s}")]
-    tot = {r[BUCKET]: r for r in b.groupBy(BUCKET).agg(*aggs).collect()}
-    nb = (max(tot) + 1) if tot else 1
-    off_n, off_s, off_c = [0] * nb, {s: [0] * nb for s in sum_cols}, {s: [0] * nb for s in sum_cols}
-    run_n, run_s, run_c = 0, {s: 0 for s in sum_cols}, {s: 0 for s in sum_cols}
-    for i in range(nb):
-        off_n[i] = run_n
-        r = tot.get(i)
-        run_n += r["_bn"] if r else 0
-        for s in sum_cols:
-            off_s[s][i], off_c[s][i] = run_s[s], run_c[s]
-            if r:
-                run_s[s] += r[f"_bs_{s}"] or 0
-                run_c[s] += r[f"_bc_{s}"]
-    slot = F.col(BUCKET) + F.lit(1)
-    out = local.withColumn(IDX, F.element_at(_array_literal(off_n, T.LongType()), slot) + F.col("_lrn"))
-    for s in sum_cols:
-        st = b.schema[s].dataType
-        at = T.DoubleType() if isinstance(st, (T.FloatType, T.DoubleType, T.DecimalType)) else T.LongType()
-        out = (out.withColumn(f"_cum_{s}", F.element_at(_array_literal(off_s[s], at), slot) + F.col(f"_lcum_{s}"))
-                  .withColumn(f"_cnt_{s}", F.element_at(_array_literal(off_c[s], T.LongType()), slot)
-                              + F.col(f"_lcnt_{s}")))
-    drop = ["_lrn"] + [f"_{p}_{s}" for s in sum_cols for p in ("lcum", "lcnt")]
-    drop += keys
-    if not keep_bucket:
-        drop.append(BUCKET)
-    return out.drop(*drop)
+    return _global(df, order_cols, list(sum_cols or []), n_buckets)[0]
+
+
+def _global(df: DataFrame, order_cols: list[str], sum_cols: list[str], n_buckets: int | None):
+    rows = pinned_order(df, order_cols, n_buckets)
+    n = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out, offsets = _prefixed(rows, [], sum_cols, known=n)
+    return out.select(*df.columns, IDX, *[(F.col(f"_os_{s}") + F.col(f"_ls_{s}")).alias(f"_cum_{s}") for s in sum_cols],
+                      *[(F.col(f"_oc_{s}") + F.col(f"_lc_{s}")).alias(f"_cnt_{s}") for s in sum_cols]), offsets
 
 
 def global_row_index(df: DataFrame, order_cols: list[str], n_buckets: int | None = None,
                      name: str = "row_index") -> DataFrame:
-    """1-based position after a global sort on ``order_cols`` (no single partition)."""
+    """1-based position after a global sort on ``order_cols`` (no single partition; the
+    rows are shuffled once)."""
     return global_prefix(df, order_cols, n_buckets=n_buckets).withColumnRenamed(IDX, name)
 
 
-def rolling_mean(df: DataFrame, value_col: str, order_cols: list[str], window: int | None = None,
-                 divisor: int = 5, n_buckets: int | None = None, name: str = "rolling_mean") -> DataFrame:
-    """Trailing mean over the last ``window`` rows in global order, ``min_periods=1``.
-
-    ``window`` defaults to ``max(1, total // divisor)``. NULL values are skipped (mean of the
-    non-NULL values in the frame; NULL when the frame has none), as a pandas rolling mean.
-    Uses prefix sums: mean(i) = (S(i) - S(i-w)) / (C(i) - C(i-w)). Each row emits its own
-    prefix under key ``i`` and a copy under key ``i + w``; one ``groupBy`` on the key (at most
-    two rows per key, so no skew) pairs them. The windowed prefix is computed once and only
-    one shuffle is added, instead of a self-join that shuffles both sides.
-    """
-    total = df.count()
-    w = window if window is not None else max(1, total // divisor)
-    idx = global_prefix(df, order_cols, [value_col], n_buckets=n_buckets, total=total)
-    cum, cnt = f"_cum_{value_col}", f"_cnt_{value_col}"
-    payload = [c for c in idx.columns if c not in (IDX, cum, cnt)]
-    row_type = idx.select(F.struct(*payload)).schema[0].dataType
-    cur = F.struct(F.lit(0).alias("_tag"), F.col(IDX).alias("_key"), F.col(cum).alias("_s"),
-                   F.col(cnt).alias("_c"), F.struct(*payload).alias("_row"))
-    nxt = F.struct(F.lit(1).alias("_tag"), (F.col(IDX) + F.lit(w)).alias("_key"), F.col(cum).alias("_s"),
-                   F.col(cnt).alias("_c"), F.lit(None).cast(row_type).alias("_row"))
-    both = idx.select(F.explode(F.array(cur, nxt)).alias("e")).select("e.*")
-    is_cur, is_prev = F.col("_tag") == 0, F.col("_tag") == 1
-    g = (both.groupBy("_key")
-         .agg(F.max(is_cur.cast("int")).alias("_has"),
-              F.first(F.when(is_cur, F.col("_row")), ignorenulls=True).alias("_row"),
-              F.sum(F.when(is_cur, F.col("_s"))).alias("_s"), F.sum(F.when(is_cur, F.col("_c"))).alias("_c"),
-              F.sum(F.when(is_prev, F.col("_s"))).alias("_ps"), F.sum(F.when(is_prev, F.col("_c"))).alias("_pc"))
-         .where(F.col("_has") == 1))
-    mean = F.try_divide(F.col("_s") - F.coalesce(F.col("_ps"), F.lit(0)),
-                        (F.col("_c") - F.coalesce(F.col("_pc"), F.lit(0))).cast("double"))
-    return g.select(F.col("_key").alias("row_index"), "_row.*", mean.alias(name), F.lit(w).alias("window_rows"))
-
-
 def grouped_prefix(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    sum_cols: list[str], n_buckets: int | None = None) -> DataFrame:
-    """Running sums of ``sum_cols`` within each group, ordered by ``order_cols``.
+    """Running sums of ``sum_cols`` within each group (NULL is a group), ordered by ``order_cols``.
 
-    The global prefix runs over the composite key (groups..., order...); a group's start
-    offset is the exclusive prefix of its first row (one row per group, joined back null-safely
-    on the group key, so negative values and NULL groups are kept right). Adds ``_gidx`` (1-based index in the group) and ``_gcum_s``.
+    Rows are in range order of (groups..., order...), so a group spans neighbouring buckets and a
+    hot group many of them; a bucket's offset is per group. Adds ``_gidx`` (1-based index in the
+    group) and ``_gcum_s``.
     """
-    g = global_prefix(df, list(group_cols) + list(order_cols), sum_cols, n_buckets=n_buckets)
-    starts = g.groupBy(*group_cols).agg(
-        F.min(F.col(IDX) - F.lit(1)).alias("_g0"),
-        *[F.min_by(F.col(f"_cum_{s}") - F.coalesce(F.col(s), F.lit(0)), F.col(IDX)).alias(f"_g0_{s}") for s in sum_cols])
-    starts = starts.withColumnsRenamed({c: f"_k_{c}" for c in group_cols})
-    on = F.lit(True)
-    for c in group_cols:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    out = g.join(starts, on).drop(*[f"_k_{c}" for c in group_cols])
-    out = out.withColumn("_gidx", F.col(IDX) - F.col("_g0"))
-    for s in sum_cols:
-        out = out.withColumn(f"_gcum_{s}", F.col(f"_cum_{s}") - F.col(f"_g0_{s}"))
-    return out.drop("_g0", IDX, *[f"_g0_{s}" for s in sum_cols],
-                    *[f"_cum_{s}" for s in sum_cols], *[f"_cnt_{s}" for s in sum_cols])
+    group_cols = list(group_cols)
+    rows = pinned_order(df, group_cols + list(order_cols), n_buckets)
+    out, _ = _prefixed(rows, group_cols, sum_cols, known=None)
+    return out.select(*df.columns, F.col(IDX).alias("_gidx"),
+                      *[(F.col(f"_os_{s}") + F.col(f"_ls_{s}")).alias(f"_gcum_{s}") for s in sum_cols])
+
+
+def sliding_sums(rows: DataFrame, pos: str, cols: list[str], width: int, total: int,
+                 block: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` (dense positions 0 .. total-1 in ``pos``, no NULL in ``cols``) with ``_w_<c>``: the sum
+    of ``c`` over positions pos-width+1 .. pos (fewer at the start).
+
+    Positions are cut into blocks of at most ``block`` rows. A frame is the end of the block it
+    begins in, whole blocks, and the beginning of its last block: sums inside one block from either
+    side, and sliding sums over the much smaller table of block sums (this function again). Only
+    values inside the frame are ever added, nothing is subtracted, so a huge or infinite value
+    outside a frame leaves no trace in it. Each row is sent under its own position and, with the sum
+    from it to its block's end, to the position whose frame it begins: at most two rows a key.
+    """
+    s = min(width, block)
+    q, r = divmod(width - 1, s)
+    p = F.col(pos)
+    own = F.expr(f"`{pos}` div {s}")
+    up = Window.partitionBy("_b").orderBy(p.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_b").orderBy(p.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = rows.withColumn("_b", own)
+    x = x.withColumns({f"_p_{c}": F.sum(c).over(up) for c in cols}).withColumns({f"_q_{c}": F.sum(c).over(down) for c in cols})
+    payload = F.struct(*rows.columns)
+    kind = rows.select(payload.alias("r")).schema["r"].dataType
+    ahead = p + F.lit(width - 1)
+    other_block = F.expr(f"(`{pos}` + {width - 1}) div {s}") != F.col("_b")
+    here = F.struct(p.alias("_key"), payload.alias("_row"), *[F.col(f"_p_{c}").alias(f"_p_{c}") for c in cols],
+                    *[F.lit(None).cast(x.schema[f"_q_{c}"].dataType).alias(f"_q_{c}") for c in cols])
+    there = F.struct(ahead.alias("_key"), F.lit(None).cast(kind).alias("_row"),
+                     *[F.lit(None).cast(x.schema[f"_p_{c}"].dataType).alias(f"_p_{c}") for c in cols],
+                     *[F.when(other_block, F.col(f"_q_{c}")).alias(f"_q_{c}") for c in cols])
+    sent = F.when(ahead < F.lit(total), F.array(here, there)).otherwise(F.array(here))
+    pairs = x.select(F.explode(sent).alias("e")).select("e.*").groupBy("_key").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        *[F.sum(f"_{k}_{c}").alias(f"_{k}_{c}") for c in cols for k in "pq"])
+    sums = {c: F.coalesce(F.col(f"_q_{c}"), F.lit(0)) + F.col(f"_p_{c}") for c in cols}
+    if q:
+        n_blocks = -(-total // s)
+        pairs = pairs.join(broadcast_if_small(_between(rows, own, cols, q, n_blocks, block), known_rows=n_blocks),
+                           F.expr(f"_key div {s}") == F.col("_mb"), "left")
+        whole = F.pmod(F.col("_key"), F.lit(s)) >= F.lit(r)  # the frame begins a block later
+        sums = {c: F.coalesce(F.col(f"_q_{c}"), F.lit(0))
+                + F.coalesce(F.when(whole, F.col(f"_less_{c}")).otherwise(F.col(f"_more_{c}")), F.lit(0))
+                + F.col(f"_p_{c}") for c in cols}
+    return pairs.select("_row.*", *[v.alias(f"_w_{c}") for c, v in sums.items()])
+
+
+def _between(rows: DataFrame, own: Column, cols: list[str], q: int, n_blocks: int, block: int) -> DataFrame:
+    """Per block ``_mb``: sums of the q blocks before it (``_more_``) and of the q-1 (``_less_``)."""
+    blocks = Staged(rows.sparkSession, "blocks").write(
+        rows.groupBy(own.alias("_bp")).agg(*[F.sum(c).alias(c) for c in cols]), "blocks")
+    nxt = (F.col("_bp") + F.lit(1)).alias("_mb")
+    more = sliding_sums(blocks, "_bp", cols, q, n_blocks, block).select(
+        nxt, *[F.col(f"_w_{c}").alias(f"_more_{c}") for c in cols])
+    if q == 1:
+        return more.withColumns({f"_less_{c}": F.lit(None).cast(blocks.schema[c].dataType) for c in cols})
+    less = sliding_sums(blocks, "_bp", cols, q - 1, n_blocks, block).select(
+        nxt, *[F.col(f"_w_{c}").alias(f"_less_{c}") for c in cols])
+    return more.join(less, "_mb")
 
 
+def rolling_mean(df: DataFrame, value_col: str, order_cols: list[str], window: int | None = None,
+                 divisor: int = 5, n_buckets: int | None = None, name: str = "rolling_mean",
+                 block: int = BLOCK_ROWS) -> DataFrame:
+    """Trailing mean over the last ``window`` rows in global order, ``min_periods=1``.
+
+    ``window`` defaults to ``max(1, total // divisor)``. NULL and NaN values are skipped (the mean of
+    the values in the frame; NULL when it has none), as a pandas rolling mean. Sums and counts of
+    the frames come from :func:`sliding_sums`; sums of whole numbers are exact.
+    """
+    idx, offsets = _global(df, order_cols, [], n_buckets)
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    w = window if window is not None else max(1, total // divisor)
+    whole = isinstance(df.schema[value_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    v = F.col(value_col) if whole else F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
+    rows = idx.withColumn("_pos", F.col(IDX) - F.lit(1)) \
+              .withColumn("_v", F.coalesce(v, F.lit(0)).cast("long" if whole else "double")) \
+              .withColumn("_c", v.isNotNull().cast("long"))
+    out = sliding_sums(rows, "_pos", ["_v", "_c"], w, total, block)
+    mean = F.try_divide(F.col("_w__v").cast("double"), F.col("_w__c").cast("double"))
+    return out.select(F.col(IDX).alias("row_index"), *df.columns, mean.alias(name), F.lit(w).alias("window_rows"))

@@ -16,27 +16,35 @@ def choose_model(col, allowed: list[str] | None = None, default: str = DEFAULT_M
     return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
 
 
+def _numbers(df: DataFrame, feature_cols: list[str], nan_ok: bool) -> DataFrame:
+    """``df`` with ``_nums`` (the features as an array of doubles, NULL where ``try_cast`` fails) and
+    ``bad_features``. Two functions over one array: the plan does not grow with the features."""
+    texts = F.array(*[F.col(c).cast("string") for c in feature_cols])
+    names = F.array(*[F.lit(c) for c in feature_cols])
+    out = df.withColumn("_nums", F.transform(texts, lambda t: t.try_cast("double")))
+    bad = lambda name, k: F.col("_nums")[k].isNull() if nan_ok else (
+        F.col("_nums")[k].isNull() | F.isnan(F.col("_nums")[k]))
+    return out.withColumn("bad_features", F.filter(names, bad))
+
+
 def quarantine(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     """P6 + P25: coerce every feature with ``try_cast``; ``bad_features`` lists the ones
     that are missing or not numeric and ``valid`` says whether the row can be scored.
     Split with ``where(valid)`` / ``where(~valid)`` - no exception kills the batch."""
-    casts = {c: F.col(c).cast("string").try_cast("double") for c in feature_cols}
-    bad = F.filter(F.array(*[F.when(casts[c].isNull(), F.lit(c)) for c in feature_cols]),
-                   lambda x: x.isNotNull())
-    return (df.withColumns({f"{c}_num": casts[c] for c in feature_cols})
-            .withColumn("bad_features", bad)
-            .withColumn("valid", F.size("bad_features") == F.lit(0)))
+    q = _numbers(df, feature_cols, nan_ok=True)
+    return q.select(*df.columns, *[F.col("_nums")[k].alias(f"{c}_num") for k, c in enumerate(feature_cols)],
+                    "bad_features", (F.size("bad_features") == F.lit(0)).alias("valid"))
 
 
 def split_requests(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """P25 in front of scoring: (rows that can be scored, their features as doubles; rejected
-    rows as they came, with ``bad_features``). NaN counts as not numeric here: no model scores it."""
-    q = quarantine(df, feature_cols)
-    nan = F.filter(F.array(*[F.when(F.isnan(f"{c}_num"), F.lit(c)) for c in feature_cols]), lambda x: x.isNotNull())
-    q = q.withColumn("bad_features", F.concat("bad_features", nan))
+    rows as they came, with ``bad_features``). NaN counts as not numeric here: no model scores it.
+    A feature that is no column at all is missing in every row."""
+    absent = [c for c in feature_cols if c not in df.columns]
+    q = _numbers(df.withColumns({c: F.lit(None).cast("string") for c in absent}), feature_cols, nan_ok=False)
     good = F.size("bad_features") == 0
-    extra = ["bad_features", "valid", *[f"{c}_num" for c in feature_cols]]
-    return (q.where(good).withColumns({c: F.col(f"{c}_num") for c in feature_cols}).drop(*extra),
+    at = {c: k for k, c in enumerate(feature_cols)}
+    return (q.where(good).select(*[F.col("_nums")[at[c]].alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
             q.where(~good).select(*df.columns, "bad_features"))
 
 
@@ -77,3 +85,13 @@ def decode(df: DataFrame, col: str, table: list[tuple], out: str, default=None,
     joined = df.join(broadcast_if_small(lut, known_rows=len(table)), F.col(col) == F.col("_code"), "left")
     lab = F.coalesce(F.col("_label"), F.lit(default)) if default is not None else F.col("_label")
     return joined.withColumn(out, lab).drop("_code", "_label")
+
+
+def decode_codes(df: DataFrame, table: list[tuple], suffix: str = "_label") -> DataFrame:
+    """P27 over a whole form: ``table`` = (column, code, label); every named column gets a
+    ``<column>_label`` (NULL for a code without one). The table is a map literal in the plan, so no
+    join and no shuffle."""
+    labels: dict[str, list] = {}
+    for col, code, label in table:
+        labels.setdefault(col, []).extend([F.lit(float(code)), F.lit(label)])
+    return df.withColumns({f"{c}{suffix}": F.create_map(*kv)[F.col(c).cast("double")] for c, kv in labels.items() if c in df.columns})

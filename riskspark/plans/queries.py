@@ -667,7 +667,7 @@ def _trained(spark, sf):
     """Fit the three candidates once per session and table (M1, M3-M5, M9): population-sd
     scaling fitted on the train split, then the three pipelines."""
     from ..operators import ml
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         _TRAINED[key] = ml.train_and_compare(learnable_view(spark, sf), EMB_FEATURES, "target",
                                              key_cols=["vec_id"])
@@ -683,18 +683,15 @@ def q_train_compare(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     from ..operators import ml
-    _, models, best = _trained(spark, sf)
-    rows = None
-    for name in models:
-        imp = ml.minmax_shade(ml.feature_importance(models[name], EMB_FEATURES, spark)).withColumn("model", F.lit(name))
-        rows = imp if rows is None else rows.unionByName(imp)
-    return rows
+    _, models, _ = _trained(spark, sf)
+    return ml.importance_table(models, EMB_FEATURES, spark)
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    """M8 + P24 + P31: each request row names a model (by its label group; an unknown key
-    falls back to the default), rows are scored per chosen model with the saved and
+    """M8 + P24 + P25 + P31: requests with 64 features as text, a few of them missing or no numbers.
+    Bad rows are rejected (``bad_features`` names why) before any model sees them; the others are
+    scored by the model they name (an unknown key falls back to the default) with the saved and
     reloaded pipelines and stamped with the model's artefact digest."""
     from ..operators import ml
     from ..sources.artifacts import artifact_manifest, load_model, save_model
@@ -705,19 +702,22 @@ def q_score_batch(spark, sf):
     for name, m in models.items():
         save_model(m, f"{root}/{ml.model_key(name)}")
     loaded = {ml.model_key(n): load_model(f"{root}/{ml.model_key(n)}") for n in models}
-    l = learnable_view(spark, sf).withColumn(
-        "requested", F.when(F.col("label") <= 3, F.lit("logistic_regression"))
-                      .when(F.col("label") <= 6, F.lit("gradient_boosting")).otherwise(F.lit("svm")))
-    chosen = l.withColumn("model_used", validate.choose_model("requested"))
-    parts = [ml.score(m, chosen.where(F.col("model_used") == F.lit(k))) for k, m in loaded.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    requests = learnable_view(spark, sf).select(
+        "vec_id", "target",
+        F.when(F.col("label") <= 3, F.lit("logistic_regression"))
+         .when(F.col("label") <= 6, F.lit("gradient_boosting")).otherwise(F.lit("svm")).alias("requested"),
+        F.when(F.col("label") == 9, F.lit("n/a")).otherwise(F.col("f0").cast("string")).alias("f0"),
+        F.when(F.col("f1") < 0.15, F.col("f1")).cast("string").alias("f1"),
+        *[F.col(f).cast("string") for f in EMB_FEATURES[2:]])
+    good, bad = validate.split_requests(requests, EMB_FEATURES)
+    out = ml.score_by_model(loaded, good.withColumn("model_used", validate.choose_model("requested")))
     manifest = artifact_manifest(spark, root, list(loaded)).select(
         F.col("model").alias("model_used"), F.col("sha256").alias("model_hash"))
     from ..operators.joins import broadcast_if_small
-    return (out.join(broadcast_if_small(manifest, known_rows=len(loaded)), "model_used", "left")
-            .select("vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash"))
+    out = out.join(broadcast_if_small(manifest, known_rows=len(loaded)), "model_used", "left")
+    keep = ["vec_id", "target", "requested", "model_used", "prediction", "probability", "model_hash", "bad_features"]
+    return out.withColumn("bad_features", F.array().cast("array<string>")).select(*keep).unionByName(
+        bad.select("vec_id", "target", "requested", "bad_features"), allowMissingColumns=True)
 
 
 @register("artifact_manifest")
@@ -747,6 +747,7 @@ def q_io_roundtrip(spark, sf):
     sinks.append_history(h, f"{root}/history")                                   # K1
     stored = sinks.append_with_fallback(h, {"path": f"{root}/store", "fmt": "unreachable_store"},  # K3
                                         {"path": f"{root}/fallback"})
+    assert stored.reason
     back = files.read_history(spark, f"{root}/history")                         # S3
     counts.append(("history_parquet", back.count()))
     counts.append((f"failover_{stored}", files.read_history(spark, f"{root}/fallback").count()))
@@ -763,8 +764,9 @@ def q_io_roundtrip(spark, sf):
     schema = "l_quantity double, l_extendedprice double, l_discount double, l_tax double, target double"
     t = files.read_training(spark, f"{root}/training_csv", schema=spark.createDataFrame([], schema).schema)  # S1
     counts.append(("training_csv", t.count()))
+    auc = evaluate.roc_auc(labelled_view(spark, sf), "score", "label").first()["roc_auc"]  # one number
     m = evaluate.classification_metrics(_l_pred(spark, sf)).select("accuracy", "precision", "recall", "f1_score") \
-        .withColumn("roc_auc", F.lit(None).cast("double"))
+        .withColumn("roc_auc", F.lit(auc).cast("double"))
     sinks.write_metrics(m, f"{root}/metrics")                                    # K4
     counts.append(("metrics", files.read_metrics(spark, f"{root}/metrics").count()))  # S5
     cmp_rows = [(r["model"], r["accuracy"], r["roc_auc"]) for r in _comparison(spark, sf).collect()]
@@ -773,3 +775,6 @@ def q_io_roundtrip(spark, sf):
     sinks.write_confusion(evaluate.confusion(_l_pred(spark, sf)), f"{root}/confusion")  # K6
     counts.append(("confusion", files.read_confusion(spark, f"{root}/confusion").count()))  # S9
     return spark.createDataFrame(counts, "step string, n long")
+
+
+from . import service  # noqa: E402,F401  more queries, registered in the same tables

@@ -1,9 +1,11 @@
-"""Model artefacts: save / load (K7, S7) and a content manifest."""
+"""Model artefacts: save / load (K7, S7) and a manifest of their content."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,19 +19,47 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+#: What a save adds that is not the model: its time and the random part of object names.
+_WHEN = r'\\?"timestamp\\?":\d+,?'
+_NAME = r"_[0-9a-f]{12,32}"
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, _WHEN, ""), _NAME, "")
+
+
 def artifact_manifest(spark: SparkSession, root: str, expected: list[str]) -> DataFrame:
-    """SHA-256 per model directory under ``root``: files are hashed where they are read
-    (``binaryFile`` + ``sha2``), then each model's digest is the hash of its sorted
-    ``relpath:sha`` list. Expected models with no files get ``missing``."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", F.sha2("content", 256).alias("sha")))
+    """SHA-256 of the *content* of each saved model under ``root``: of every stage's metadata
+    (keys sorted, without save time and random object names) and of every decoded data row, so the
+    same model saved twice has one digest and any changed number another. File names, part sizes
+    and compression do not enter. Rows are hashed where they are read, and their hashes folded in two
+    steps (by first digits, then together), so no task gathers a large model's rows. Expected models
+    without files get ``missing``."""
     base = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?" + base.replace("/", r"\/") + "/", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    rel = F.regexp_replace(F.col("path"), r"^(file:/*)?" + base.replace("/", r"\/") + "/", "")
     files = files.withColumn("rel", rel).withColumn("model", F.split("rel", "/").getItem(0))
-    per_model = files.groupBy("model").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "rel", "sha"))), "\n"), 256).alias("sha256"),
-        F.count(F.lit(1)).alias("n_files"))
+    n_files = files.groupBy("model").agg(F.count(F.lit(1)).alias("n_files"))
+    # Two directories a stage: the list is as long as the pipelines, whatever the models' sizes.
+    dirs = files.select("model", F.regexp_replace("rel", "/[^/]*$", "").alias("dir")).distinct().collect()
+    parts = []
+    for r in sorted(dirs):
+        path = f"{base}/{r['dir']}"
+        if r["dir"].endswith("/metadata"):
+            text = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+            row = F.to_json(F.parse_json(_plain(F.col("value"))))  # a VARIANT object keeps its keys sorted
+        else:
+            text = spark.read.parquet(path)
+            row = _plain(F.to_json(F.struct(*text.columns)))
+        place = _plain(F.lit(r["dir"]))
+        parts.append(text.select(F.lit(r["model"]).alias("model"), F.sha2(F.concat_ws("\n", place, row), 256).alias("sha")))
     names = spark.createDataFrame([(m,) for m in expected], "model string")
-    return (names.join(per_model, "model", "left")
+    if not parts:
+        return names.select("model", F.lit(base).alias("root"), F.lit("missing").alias("sha256"), F.lit(0).cast("long").alias("n_files"))
+    folded = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    per_model = rows.groupBy("model", F.substring("sha", 1, 4).alias("first")).agg(folded("sha").alias("sha")) \
+                    .groupBy("model").agg(folded("sha").alias("sha256"))
+    return (names.join(per_model, "model", "left").join(n_files, "model", "left")
             .select("model", F.lit(base).alias("root"), F.coalesce("sha256", F.lit("missing")).alias("sha256"),
                     F.coalesce("n_files", F.lit(0)).alias("n_files")))

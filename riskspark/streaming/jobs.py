@@ -94,6 +94,29 @@ def stream_daily_kpis(spark: SparkSession, events_dir: str, glob: str | None = N
     return spark.read.parquet(out)
 
 
+def upsert_days(path: str):
+    """A ``foreachBatch`` writer of update-mode KPI rows: each row replaces its day's partition
+    (``kpi_day``) of the table at ``path``. A day's row always holds the whole day so far, so a batch
+    delivered again writes the same rows over themselves, and only touched days are rewritten."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("kpi_day", F.to_date("day")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("kpi_day").parquet(path))
+    return handle
+
+
+def stream_live_kpis(spark: SparkSession, events_dir: str, glob: str | None = None, out_root: str | None = None,
+                     delay: str = "1 day", max_files_per_trigger: int | None = None) -> DataFrame:
+    """R2 live: every day's KPIs so far, the open day too, as the dashboard's cards poll them. The
+    stream runs in update mode over what is there and can be started again for new files; events
+    later than the watermark are left out, as in :func:`stream_daily_kpis`."""
+    root = out_root or shared_dir(spark, f"riskspark-live-{uuid.uuid4().hex}")
+    out = f"{root}/live_kpis"
+    kpis = daily_kpis(history_stream(spark, events_dir, max_files_per_trigger, glob), delay)
+    (kpis.writeStream.foreachBatch(upsert_days(out)).outputMode("update")
+     .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out).drop("kpi_day")
+
+
 def stream_trend(spark: SparkSession, events_dir: str, glob: str | None = None,
                  out_root: str | None = None) -> DataFrame:
     """R3 end to end: sealed sliding 7-day windows written to a table and read back."""
@@ -109,13 +132,14 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
                  rejected: dict | None = None, model_hashes: dict[str, str] | None = None, on_stored=None):
     """Each micro-batch is split by chosen model (P24), scored with that model's pipeline
     and written with failover (K3). The write goes to the batch's own ``batch_id=<id>``
-    directory in overwrite mode, so a batch replayed after a failure does not duplicate rows;
-    the checkpoint makes restarts resume after the last committed batch.
+    directory in overwrite mode and counts once its commit record stands, so a batch replayed after
+    a failure does not duplicate rows (``sources.sinks.read_stored`` reads both sinks); the
+    checkpoint makes restarts resume after the last committed batch.
 
     With ``feature_cols``, rows with a missing or non-numeric feature go to the sink ``rejected``
     unscored (P25). ``model_hashes`` stamps each row with its model's digest and ``on_stored``
     is told (batch id, name of the sink that took the batch) (P31)."""
-    from ..operators.ml import score
+    from ..operators.ml import score_by_model
 
     if feature_cols and rejected is None:
         raise ValueError("feature_cols needs a sink for rejected rows")
@@ -128,11 +152,7 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
             append_history(bad, **rejected, batch_id=batch_id)
         chosen = batch.withColumn("model_used", F.when(F.col(model_col).isin(*allowed), F.col(model_col))
                                   .otherwise(F.lit(default_model)))
-        parts = [score(m, chosen.where(F.col("model_used") == F.lit(k))) for k, m in models.items()]
-        scored = parts[0]
-        for p in parts[1:]:
-            scored = scored.unionByName(p)
-        scored = scored.withColumn("timestamp", F.localtimestamp())
+        scored = score_by_model(models, chosen).withColumn("timestamp", F.localtimestamp())
         if hashes is not None:
             scored = scored.withColumn("model_hash", hashes[F.col("model_used")])
         sink = append_with_fallback(scored, primary, fallback, batch_id=batch_id)

@@ -31,7 +31,7 @@ def test_hot_key_is_split_across_buckets(spark):
     # A third of the rows share one timestamp: the composite key still spreads them.
     rows = [(i, 0 if i % 3 == 0 else i) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, t long")
-    b = ordered.with_range_bucket(df, ["t", "id"], n_buckets=16)
+    b = ordered.pinned_order(df, ["t", "id"], n_buckets=16)
     sizes = [r[1] for r in b.groupBy("_bucket").count().collect()]
     assert max(sizes) < 1000 / 2
     idx = ordered.global_row_index(df, ["t", "id"], n_buckets=16).toPandas()
@@ -50,7 +50,7 @@ def test_no_single_partition_exchange(spark):
 def test_null_order_keys_sort_last_and_spread(spark):
     rows = [(i, None if i % 3 == 0 else float(i % 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, t double")
-    b = ordered.with_range_bucket(df, ["t", "id"], n_buckets=16)
+    b = ordered.pinned_order(df, ["t", "id"], n_buckets=16)
     sizes = [r[1] for r in b.groupBy("_bucket").count().collect()]
     assert max(sizes) < 1000 / 2  # the 1,000 NULL-key rows are split too
     idx = ordered.global_row_index(df, ["t", "id"], n_buckets=16).toPandas().sort_values("row_index")
