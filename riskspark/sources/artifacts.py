@@ -51,7 +51,7 @@ def artifact_manifest(spark: SparkSession, root: str, expected: list[str]) -> Da
         else:
             text = spark.read.parquet(path)
             row = _plain(F.to_json(F.struct(*text.columns)))
-        place = _plain(F.lit(r["dir"]))
+        place = _plain(F.lit(r["dir"].partition("/")[2]))  # the stage, not the name it is saved under
         parts.append(text.select(F.lit(r["model"]).alias("model"), F.sha2(F.concat_ws("\n", place, row), 256).alias("sha")))
     names = spark.createDataFrame([(m,) for m in expected], "model string")
     if not parts:
