@@ -36,6 +36,8 @@ END_ID = 2
 MAGIC = 0x314D4B5453524B52
 #: Ids a shard holds before the next is begun, and keys an index bucket is meant to hold.
 SHARD_IDS, BUCKET_KEYS = 32_000_000, 100_000
+#: Ids of neighbouring documents that are read at once.
+READ_IDS = 1_000_000
 #: Bits a key in each level of the perfect hash.
 GAMMA = 2.0
 
@@ -195,10 +197,12 @@ def _keyed(doc_id: str = "doc_id") -> list:
 
 
 class TokenFiles:
-    """A folder of token files: its tables ``manifest`` and ``index``."""
+    """A folder of token files: its tables ``manifest``, ``index`` and ``runs`` (the further shards of
+    keys whose documents run on)."""
 
-    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, index: DataFrame, n_buckets: int):
-        self.spark, self.folder, self.manifest, self.index, self.n_buckets = spark, folder, manifest, index, n_buckets
+    def __init__(self, spark: SparkSession, folder: str, manifest: DataFrame, index: DataFrame, n_buckets: int, runs: DataFrame):
+        self.spark, self.folder, self.manifest, self.index = spark, folder, manifest, index
+        self.n_buckets, self.runs = n_buckets, runs
 
     @classmethod
     def write(cls, spark: SparkSession, docs: DataFrame, path: str) -> TokenFiles:
@@ -219,13 +223,19 @@ class TokenFiles:
             F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
         manifest = stage.write(manifest, "manifest")
         placed = entries.join(manifest.select("shard", "shard_no"), "shard")
-        keys = placed.groupBy("doc_id").agg(
-            F.min(F.struct("shard_no", "place")).alias("at"), F.count(F.lit(1)).alias("count"))
-        keys = keys.select(*_keyed(), F.col("at.shard_no").alias("shard_no"), F.col("at.place").alias("place"), "count")
+        parts = placed.groupBy("doc_id", "shard_no").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+        found = stage.write(parts.groupBy("doc_id").agg(
+            F.min(F.struct("shard_no", "place")).alias("at"), F.sum("n").alias("count"),
+            F.count(F.lit(1)).alias("shards")), "found")
+        # Keys whose documents run on into other shards: their part in each of these.
+        several = found.where("shards > 1").select(F.col("doc_id").alias("d"), F.col("at.shard_no").alias("head"))
+        runs = stage.write(parts.join(several, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("shard_no") > F.col("head")))
+                           .select("doc_id", "shard_no", "place", "n"), "runs")
+        keys = found.select(*_keyed(), F.col("at.shard_no").alias("shard_no"), F.col("at.place").alias("place"), "count")
         n_buckets = max(1, -(-entries.count() // BUCKET_KEYS))
         index = stage.write(write_index(keys, folder, n_buckets), "index")
-        stage.drop("entries")
-        return cls(spark, folder, manifest, index, n_buckets)
+        stage.drop("entries", "found")
+        return cls(spark, folder, manifest, index, n_buckets, runs)
 
     def find(self, keys: DataFrame) -> DataFrame:
         """``doc_id`` of ``keys`` with shard_no, place and count from the index; unknown keys are left out."""
@@ -249,24 +259,20 @@ class TokenFiles:
         return asked.join(self.index.select("bucket", "file"), "bucket").groupBy("bucket").applyInArrow(
             look, "doc_id long, shard_no int, place long, count long")
 
-    def read(self, keys: DataFrame) -> DataFrame:
-        """Every document of ``keys``: doc_id, start, n_tokens, ids_crc32, ids (little-endian), read by place."""
+    def read(self, keys: DataFrame, with_ids: bool = True) -> DataFrame:
+        """Every document of ``keys``, read by place: doc_id, start, n_tokens, ids_crc32 and, unless they are
+        left in the files' readers, ids (little-endian)."""
         folder = self.folder
         shards = self.manifest.select("shard", "shard_no", "base", "docs")
         found = self.find(keys).withColumnsRenamed({"shard_no": "at_shard"})
         # A key's documents may run on into the next shards: ask each of them for its part.
         first = shards.select(F.col("shard_no").alias("at_shard"), F.col("docs").alias("at_docs"))
-        single = found.join(first, "at_shard")
-        here = single.select("doc_id", F.col("at_shard").alias("shard_no"), "place",
-                             F.least("count", F.col("at_docs") - F.col("place")).alias("n"),
-                             (F.col("place") + F.col("count") - F.col("at_docs")).alias("over"))
-        on = here.where("over > 0")
-        spill = on.join(shards.withColumnRenamed("shard_no", "s"), F.col("s") > F.col("shard_no")).select(
-            "doc_id", F.col("s").alias("shard_no"), F.lit(0).cast("long").alias("place"), "over", "docs",
-            F.coalesce(F.sum("docs").over(Window.partitionBy("doc_id").orderBy("s").rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)).alias("gone"))
-        spill = spill.where("over > gone").select("doc_id", "shard_no", "place",
-                                                  F.least("docs", F.col("over") - F.col("gone")).alias("n"))
+        here = found.join(first, "at_shard").select(
+            "doc_id", F.col("at_shard").alias("shard_no"), "place", F.least("count", F.col("at_docs") - F.col("place")).alias("n"),
+            (F.col("place") + F.col("count") > F.col("at_docs")).alias("over"))
+        runs = self.runs.withColumnRenamed("doc_id", "d")
+        spill = here.where("over").select("doc_id").join(runs, F.col("doc_id").eqNullSafe(F.col("d"))).select(
+            "doc_id", "shard_no", "place", "n")
         asks = here.drop("over").unionByName(spill).join(shards.select("shard", "shard_no", "base"), "shard_no")
 
         def fetch(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,20 +298,31 @@ class TokenFiles:
                     want_ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
                     cols: list[list] = [[], [], [], [], []]
                     order = np.argsort(want, kind="stable")
-                    for r, who in zip(want[order].tolist(), asked[order].tolist()):
-                        doc = int(own[r]) if valid[r] else None
-                        if doc != want_ids[who]:
-                            continue  # a fingerprint met by chance: the key is not in the files
-                        f.seek(int(offs[r]) * width)
-                        raw = np.frombuffer(f.read(int(offs[r + 1] - offs[r]) * width), f"<u{width}")
-                        for c, v in zip(cols, (doc, base + int(offs[r]), len(raw), zlib.crc32(raw.astype("<u4").tobytes()), raw.tobytes())):
-                            c.append(v)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    want, asked = want[order], asked[order]
+                    # Neighbouring documents are read at once, up to READ_IDS ids.
+                    cuts = np.flatnonzero(np.diff(want) != 1) + 1
+                    for run in np.split(np.arange(len(want)), cuts):
+                        lo = 0
+                        while lo < len(run):
+                            begin = int(offs[want[run[lo]]])
+                            hi = max(lo + 1, int(np.searchsorted(offs[want[run] + 1], begin + READ_IDS, side="right")))
+                            f.seek(begin * width)
+                            part = np.frombuffer(f.read((int(offs[want[run[hi - 1]] + 1]) - begin) * width), f"<u{width}")
+                            for r, who in zip(want[run[lo:hi]].tolist(), asked[run[lo:hi]].tolist()):
+                                doc = int(own[r]) if valid[r] else None
+                                if doc != want_ids[who]:
+                                    continue  # a fingerprint met by chance: the key is not in the files
+                                raw = part[offs[r] - begin:offs[r + 1] - begin]
+                                for c, v in zip(cols, (doc, base + int(offs[r]), len(raw), zlib.crc32(raw.astype("<u4")),
+                                                       raw.tobytes() if with_ids else b"")):
+                                    c.append(v)
+                            lo = hi
+                    out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+                    yield pa.RecordBatch.from_arrays(out if with_ids else out[:4], names if with_ids else names[:4])
 
         return asks.groupBy("shard").applyInArrow(
-            fetch, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+            fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def byte_bpe() -> str:
@@ -317,4 +334,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back by key."""
     docs = read_table(spark, sf_dir, "documents")
     files = TokenFiles.write(spark, docs.select("doc_id", "text"), byte_bpe())
-    return files.read(docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return files.read(docs.select("doc_id"), with_ids=False)

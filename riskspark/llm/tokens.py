@@ -21,8 +21,11 @@ CACHED_CHUNKS = 1_400_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"[^\S \n]")
-#: A Latin word and the marks behind it: the pre-tokenizer makes these one and at most one piece.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+#: A Latin word and the marks behind it, and two such with a line feed between: the pre-tokenizer makes
+#: one piece of each word and each run of marks (no apostrophe, no ``<``), and none or one of the line feed.
+_LATIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([].,;:!?&%$*#@+=~^\"()[{}/\\-]*)"
+_WORD = re.compile(_LATIN + r"\Z")
+_TWO_LINES = re.compile(_LATIN + r"\n" + _LATIN + r"\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,6 +51,8 @@ class ChunkEncoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = self.first if words else {}
         self.marks: dict[str, bytes] = {"": b""}
+        self.packed = [self._packed([i]) for i in range(self.tok.get_vocab_size(True))]
+        self.line_feed = b"" if words else self._packed([t.id for t in self.piece(self.letters[10])])
 
     def _packed(self, ids) -> bytes:
         a = array(self.code, ids)
@@ -63,24 +68,32 @@ class ChunkEncoder:
             piece = piece.encode().decode("latin-1").translate(self.letters)
         elif piece[0] == " ":
             piece = self.letters[32] + piece[1:]
-        return self._packed([t.id for t in self.piece(piece)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.piece(piece)])
+
+    def _remembered(self, known: dict, text: str, lead: str) -> bytes:
+        ids = known.get(text)
+        if ids is None:
+            ids = known[text] = self._piece(lead + text)
+        return ids
 
     def _learn(self, known: dict, chunks: set, lead: str) -> None:
         rest = []
         for c in chunks:
             m = _WORD.match(c)
+            if m is not None:
+                word, marks = m.groups()
+                ids = self._remembered(known, word, lead)
+                if marks:
+                    known[c] = ids + self._remembered(self.marks, marks, "")
+                continue
+            m = _TWO_LINES.match(c)
             if m is None:
                 rest.append(c)
                 continue
-            word, marks = m.groups()
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._piece(lead + word)
-            if marks:
-                tail = self.marks.get(marks)
-                if tail is None:
-                    tail = self.marks[marks] = self._piece(marks)
-                known[c] = ids + tail
+            word, marks, after, more = m.groups()
+            known[c] = b"".join([self._remembered(known, word, lead), self._remembered(self.marks, marks, ""), self.line_feed,
+                                 self._remembered(self.first, after, ""), self._remembered(self.marks, more, "")])
         if rest:
             got = self.tok.encode_batch_fast([lead + c for c in rest], add_special_tokens=False)
             known.update((c, self._packed(e.ids)) for c, e in zip(rest, got))
