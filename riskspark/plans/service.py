@@ -403,3 +403,84 @@ def q_importance_ranks(spark, sf):
     c = stats.corr_matrix(labelled_view(spark, sf), L_FEATURES + ["label"], pairs=[(f, "label") for f in L_FEATURES])
     imp = c.select(F.lit("correlation").alias("model"), F.col("x").alias("feature"), F.abs(F.col("r")).alias("importance"))
     return round_doubles(ml.with_ranks(imp).select("feature", "importance", "rank", "rank_ascending"))
+
+
+# --------------------------------------------------------------------------- every file format, by value
+
+def _facts(step: str, values: dict[str, str], frm: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{step}' AS step, '{k}' AS item, round(CAST({e} AS DOUBLE), 6) AS value FROM {frm}"
+                              for k, e in values.items())
+
+
+_IO_SQL = _CMP_SQL + f""",
+cells AS (SELECT label AS actual, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS predicted FROM {L} l),
+k AS (SELECT count(*) FILTER (WHERE actual = 1 AND predicted = 1) AS tp, count(*) FILTER (WHERE actual = 0 AND predicted = 1) AS fp,
+  count(*) FILTER (WHERE actual = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE actual = 0 AND predicted = 0) AS tn FROM cells),
+""" + """e AS (SELECT (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision,
+  coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1_score FROM k)
+""" + " UNION ALL ".join([
+    _facts("history", {"rows": "count(*)", "probability": "avg(probability)", "records": "count(DISTINCT record_id)",
+                       "days": "count(DISTINCT CAST(timestamp AS DATE))", "store_keys": "max(0)"}, f"{H} h"),
+    _facts("history_json", {"rows": "count(*)", "probability": "avg(probability)", "entity_id": "avg(entity_id)",
+                            "micros": "avg(extract('microsecond' FROM timestamp))"}, f"{H} h"),
+    _facts("json_column", {"record_id": "avg(record_id)"}, f"{H} h"),
+    _facts("training_csv", {c: f"avg(nullif({c}, CAST(0 AS DOUBLE)))" for c in L_FEATURES}
+           | {f"{c}_missing": f"count(*) FILTER (WHERE {c} = 0)" for c in L_FEATURES} | {"target": "avg(label)"}, f"{L} l"),
+    _facts("metrics", {c: c for c in ("accuracy", "precision", "recall", "f1_score")}, "e"),
+    _facts("metrics", {"roc_auc": "roc_auc"}, "cmp WHERE position = 0"),
+    "SELECT 'comparison', model || ' accuracy', round(accuracy, 6) FROM cmp UNION ALL "
+    "SELECT 'comparison', model || ' roc_auc', round(roc_auc, 6) FROM cmp",
+    "SELECT 'confusion', c || '', n FROM (SELECT unnest([0, 1, 10, 11]) AS c, unnest([tn, fp, fn, tp]) AS n FROM k)"])
+
+
+@register("io_values", _IO_SQL)
+def q_io_values(spark, sf):
+    """Every source and sink (S1-S6, S9, K1-K6, K8) by value: the tables are written in each format, read
+    back, and told as (step, item, value)."""
+    from ..schemas import SCORE_RECORD_SCHEMA  # noqa: F401  the schema of a real history
+    from ..sources import files, sinks
+    root = shared_dir(spark, f"riskspark-values-{uuid.uuid4().hex}")
+    h, l = history_view(spark, sf), labelled_view(spark, sf)
+
+    def told(df, step: str, **values):
+        cells = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(k).alias("item"), v.cast("double").alias("value")) for k, v in values.items()])
+        return df.agg(cells.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+    for odd in (0, 1):  # two appends
+        sinks.append_history(h.where(F.col("record_id") % 2 == odd).withColumn("_id", F.col("record_id").cast("string")), f"{root}/history")
+    back = files.read_history(spark, f"{root}/history")
+    sinks.export_history(h, f"{root}/json")
+    lines = files.read_history_json(spark, f"{root}/json", h.schema)
+    column = sinks.history_as_json(h).select(F.get_json_object("json", "$.record_id").cast("long").alias("record_id"))
+    text = l.select(*[F.coalesce(F.nullif(F.col(c), F.lit(0.0)).cast("string"), F.lit("?")).alias(c) for c in L_FEATURES], F.col("label").cast("string"))
+    text.write.option("header", False).csv(f"{root}/csv")
+    schema = spark.createDataFrame([], ", ".join(f"{c} double" for c in [*L_FEATURES, "target"])).schema
+    train = files.read_training(spark, f"{root}/csv", schema=schema)
+    pred = l.withColumn("prediction", (F.col("score") > F.lit(0.5)).cast("int"))
+    cmp = _comparison(spark, sf).select("model", "accuracy", "roc_auc").collect()  # a row a model
+    auc = {r["model"]: r["roc_auc"] for r in cmp}["Logistic Regression"]
+    one = evaluate.classification_metrics(pred).select("accuracy", "precision", "recall", "f1_score").withColumn("roc_auc", F.lit(auc).cast("double"))
+    sinks.write_metrics(one, f"{root}/metrics")
+    sinks.write_comparison([tuple(r) for r in cmp], spark, f"{root}/comparison")
+    sinks.write_confusion(evaluate.confusion(pred), f"{root}/confusion")
+    metrics = files.read_metrics(spark, f"{root}/metrics")
+    models = files.read_comparison(spark, f"{root}/comparison")
+    cells = files.read_confusion(spark, f"{root}/confusion")
+    n = F.count(F.lit(1))
+    parts = [
+        told(back, "history", rows=n, probability=F.avg("probability"), records=F.count_distinct("record_id"),
+             days=F.count_distinct("score_date"), store_keys=F.lit(int("_id" in back.columns))),
+        told(lines, "history_json", rows=n, probability=F.avg("probability"), entity_id=F.avg("entity_id"),
+             micros=F.avg((F.date_part(F.lit("SECOND"), "timestamp") * 1_000_000).cast("double"))),
+        told(column, "json_column", record_id=F.avg("record_id")),
+        told(train, "training_csv", **{c: F.avg(c) for c in L_FEATURES}, **{f"{c}_missing": F.count_if(F.col(c).isNull()) for c in L_FEATURES},
+             target=F.avg("target")),
+        told(metrics, "metrics", **{c: F.max(c) for c in metrics.columns}),
+        models.select(F.lit("comparison").alias("step"), F.concat("model", F.lit(" accuracy")).alias("item"), F.col("accuracy").alias("value")),
+        models.select(F.lit("comparison").alias("step"), F.concat("model", F.lit(" roc_auc")).alias("item"), F.col("roc_auc").alias("value")),
+        cells.select(F.lit("confusion").alias("step"), (F.col("actual") * 10 + F.col("predicted")).cast("string").alias("item"),
+                     F.col("n").cast("double").alias("value"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return round_doubles(out)

@@ -139,11 +139,15 @@ def write_confusion(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+# Times keep their microseconds (the JSON writer's own format stops at milliseconds).
+_JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def export_history(df: DataFrame, path: str) -> None:
     """K8: history as JSON Lines (one record per line, splittable)."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**_JSON_TIMES).json(path)
 
 
 def history_as_json(df: DataFrame) -> DataFrame:
     """K8 as a column: each record serialised with ``to_json``."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    return df.select(F.to_json(F.struct(*df.columns), _JSON_TIMES).alias("json"))
