@@ -3,6 +3,13 @@
 toxicity (texts that score 0.5 or more go), near duplicates (one document of each component
 stays), benchmark decontamination (documents that hold a benchmark window go), personal data
 (every span becomes its kind in angle brackets), packing (pieces of sequences).
+
+Defined results: a null or empty text has no words, is scored like any text, is nobody's near
+duplicate, holds no passage and no span, stays null or empty, and packs as its end id alone; a null
+doc_id is a value like any other; of equal rows near duplicates keep one; equal ids with
+different texts are documents of their own; extra columns of any name travel through all stages
+but the last; an empty table gives no rows, and without labels of both classes no document is
+rejected for toxicity.
 """
 
 from __future__ import annotations
@@ -42,7 +49,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Networks, components and packing are beyond SQL; tests hold run() against a plain version.
+#: Networks, components and packing are beyond SQL; ``tests/llm/test_pipeline_run.py`` holds run(), stage
+#: by stage, against plain versions.
 ORACLE_SQL = None
 
 
