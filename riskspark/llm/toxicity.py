@@ -38,6 +38,8 @@ TRAIN_ROWS, TRAIN_CHARS, MAX_WORDS, GRAMS = 1500, 6_000, 20_000, 16384
 EPOCHS, EPOCH_WINDOWS, BATCH, RATE, SEED = 6, 6000, 256, 0.02, 11
 #: Share of inputs hidden from the network in training, and decay of the embeddings.
 HIDE, DECAY = 0.15, 2e-4
+#: Characters of training texts that are cut into words at once.
+SLICE = 500_000
 #: A word must be in so many training rows to have an embedding of its own.
 LEAST_ROWS = 30
 
@@ -190,24 +192,46 @@ def gradients(m: dict, x, mask, label):
 # ---------------------------------------------------------------- training
 
 class _Texts:
-    """Training texts as distinct words, known places, trigrams and windows."""
+    """Training texts as distinct words, known places, trigrams and windows. Texts are read in slices
+    of :data:`SLICE` bytes, so that beside the words' numbers only one slice's arrays are held."""
 
     def __init__(self, texts: list[str], vocabulary=None):
-        raw = [t.encode() for t in texts]
-        offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        buf = np.frombuffer(b"".join(raw), np.uint8)
-        s, e, row = word_spans(buf, offs, WORD_BYTES)
-        u, us, ue, self.inv = distinct_words(buf, s, e)
+        hashes, counts, grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+        u, rows, ids, n_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for some in _slices(texts):
+            raw = [t.encode() for t in some]
+            offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            buf = np.frombuffer(b"".join(raw), np.uint8)
+            s, e, row = word_spans(buf, offs, WORD_BYTES)
+            mine, us, ue, inv = distinct_words(buf, s, e)
+            hashes.append(mine[inv])
+            counts.append(np.bincount(row, minlength=len(some)))
+            pairs = np.unique(inv * len(some) + row)  # in how many of these texts each word stands
+            new = np.flatnonzero(~np.isin(mine, u, assume_unique=True))
+            tri, owner = char_grams(buf, us[new], ue[new])
+            grams.append(tri.astype(np.int32))
+            owners.append((owner + n_ids).astype(np.int32))
+            u, ids = np.concatenate([u, mine[new]]), np.concatenate([ids, np.arange(n_ids, n_ids + len(new))])
+            rows, n_ids = np.concatenate([rows, np.zeros(len(new), np.int64)]), n_ids + len(new)
+            order = np.argsort(u)
+            u, ids, rows = u[order], ids[order], rows[order]
+            rows[np.searchsorted(u, mine)] += np.bincount(pairs // len(some), minlength=len(mine))
+        words = np.concatenate(hashes)
+        self.inv = np.searchsorted(u, words).astype(np.int32)
+        del hashes, words
         if vocabulary is None:
-            pairs = np.unique(np.stack([self.inv, row]), axis=1)[0]
-            rows = np.bincount(pairs, minlength=len(u))
             often = np.argsort(-rows, kind="stable")[:MAX_WORDS]
             vocabulary = np.sort(u[often[rows[often] >= LEAST_ROWS]])
         self.vocabulary = vocabulary
         self.known = known_places(vocabulary, u)
-        self.tri, self.owner = char_grams(buf, us, ue)
+        place = np.empty(n_ids, np.int64)
+        place[ids] = np.arange(n_ids)
+        owner = place[np.concatenate(owners)] if owners else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        self.owner = owner[order]
+        self.tri = (np.concatenate(grams) if grams else np.zeros(0, np.int32))[order].astype(np.int64)
         self.n = len(u)
-        self.first, self.size, self.doc = windows_of(np.bincount(row, minlength=len(texts)))
+        self.first, self.size, self.doc = windows_of(np.concatenate(counts))
 
     def steps(self, pick):
         """Distinct words of windows (time x batch; n where padded) and the mask."""
@@ -218,6 +242,18 @@ class _Texts:
         return np.where(mask, words, self.n), mask
 
 
+def _slices(texts: list[str]):
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def known_places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Row of each word hash in the sorted vocabulary; the last row is for unknown words."""
     if not len(vocabulary):
@@ -335,17 +371,19 @@ def score_texts(model: dict, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return _sigmoid(model["slope"] * (best.astype(np.float64) - model["cut"]))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` (whose columns stay) with ``_score``; the column ``text`` is read whole."""
+def score(spark: SparkSession, docs: DataFrame, model: dict, name: str = "_score") -> DataFrame:
+    """``docs`` (whose columns stay) with the column ``name``; the column ``text`` is read whole."""
     small_batches(spark)
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     sent = spark.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for b in slices(batches, "text"):
             buf, offs = utf8(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(sent.value, buf, offs))],
-                                             [*b.schema.names, "_score"])
+                                             [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -418,7 +456,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     whole = [g for g in got if not g[2]]
     several = len({y for _, y, _ in whole}) == 2
     model = train(*_columns(whole if several else got))
-    if len(whole) == len(got) or "constant" in model:
+    done = len(whole) == len(got) or "constant" in model
+    del got, whole
+    if done:
         return model
     return train(*_columns(sample(model)))
 
@@ -441,6 +481,6 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled
     model = fit(labelled_docs, labels)
     if "constant" in model:  # one class is absent: nothing was learned that could reject
         return docs
-    same = docs.withColumn("_text", F.col("text"))  # a null text stays null
-    kept = score(spark, text_column(same), model).where(F.col("_score") < 0.5)
-    return kept.withColumn("text", F.col("_text")).select(*docs.columns)
+    # The input row travels as one column beside its text, so its columns may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("text", F.col("row.text").cast("string"))
+    return score(spark, text_column(rows), model).where(F.col("_score") < 0.5).select("row.*")
