@@ -212,30 +212,35 @@ def _window_set(sent, name: str) -> WindowSet:
     return _SETS[name]
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """Each input row as one column ``row``, whatever its columns are called, with its key (d, g)."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.select("row", F.col("row.doc_id").cast("long").alias("d"),
+                       F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("g"))
+
+
+def _same_row():
+    return F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))
+
+
 def remove_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
-    bad = find_hits(spark, docs, benchmark).where(F.col("n_hit") > 0).select(
-        F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_g", h)
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_h")),
-                      "left_anti").drop("_g")
+    bad = find_hits(spark, docs, benchmark).where(F.col("n_hit") > 0).select("doc_id", "h").distinct()
+    return _whole_rows(docs).join(bad, _same_row(), "left_anti").select("row.*")
 
 
 def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mark: str = "\n\n") -> DataFrame:
     """``docs`` with every hit span replaced by ``mark`` (no word, so texts beside it do not join)."""
-    bad = find_hits(spark, docs, benchmark).where(F.col("n_hit") > 0).select(
-        F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans").dropDuplicates(["_d", "_h"])
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_g", h).join(
-        bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_h")), "left")
+    bad = find_hits(spark, docs, benchmark).where(F.col("n_hit") > 0).select("doc_id", "h", "spans").dropDuplicates(["doc_id", "h"])
+    joined = _whole_rows(docs).join(bad, _same_row(), "left")
+    text = F.col("row.text")
     kept = F.aggregate(
         "spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["first"] - a["at"]).cast("int")),
+        lambda a, s: F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["first"] - a["at"]).cast("int")),
                                        F.lit(mark)).alias("out"), s["past"].alias("at")),
-        lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    return joined.withColumn("_t", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).select(
-        *[F.col("_t").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(kept)
+    return joined.select(*[(clean if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

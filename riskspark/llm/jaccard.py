@@ -436,17 +436,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id (of equal rows, one), and every row of an empty set."""
+    """One row of each component, that of the smallest doc_id (of equal rows, one), and every row of an
+    empty set. The input row travels as one column, so its columns may have any names."""
     found = jaccard_components(spark, docs)
     one = found.where("c is not null").groupBy("c").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")).select(
-        F.col("first.doc_id").alias("_d"), F.col("first.h").alias("_h"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_g", F.xxhash64(text))
-    words = text.rlike(r"[^\x20\x09-\x0D]")  # any: the set is not empty
-    kept = keyed.where(words).join(one, (F.col("_g") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    again = Window.partitionBy("doc_id", "_g").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns).unionByName(docs.where(~words))
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")).select("first.doc_id", "first.h")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("d"), F.xxhash64(text).alias("g"),
+                       text.rlike(r"[^\x20\x09-\x0D]").alias("words"))  # any: the set is not empty
+    kept = rows.where("words").join(one, (F.col("g") == F.col("h")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
+    again = Window.partitionBy("d", "g").orderBy(F.lit(0))
+    return kept.withColumn("n", F.row_number().over(again)).where("n = 1").select("row.*").unionByName(
+        rows.where(~F.col("words")).select("row.*"))
 
 
 OP1_SQL = r"""
