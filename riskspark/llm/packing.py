@@ -22,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from .common import Staging, read_table, slices, small_batches, text_column
 from .tokens import encoder
 
 SEQUENCE = 2048
 END_ID = 1
-#: Ranks within a length are counted in so many parts.
-PARTS = 64
+#: Ranks within a length are counted in parts: at least so many, and one for so many pieces.
+PARTS, PART_PIECES = 64, 100_000
+#: Rows of the table of part sizes that are broadcast at most.
+SIZE_ROWS = 200_000
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -108,9 +111,10 @@ def slot_table(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[n
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in by.items()}
 
 
-def _ranked(pieces: DataFrame, stage: Staging) -> DataFrame:
+def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``pieces`` with ``rank`` within their length: ranks in parts plus the sizes of the parts before."""
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS))
+    n_parts = max(PARTS, -(-sum(histogram.values()) // PART_PIECES))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_parts))
     slim = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", part.alias("part"))
     w = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = slim.withColumn("within", F.row_number().over(w) - 1)
@@ -118,8 +122,8 @@ def _ranked(pieces: DataFrame, stage: Staging) -> DataFrame:
     before = sizes.withColumn("before", F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select(
         "length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    # at most 2048 lengths times PARTS rows
-    return ranked.join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))
+    before = broadcast_if_small(before, SIZE_ROWS, known_rows=len(histogram) * n_parts)
+    return ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within"))
 
 
 def place(ranked: DataFrame, table: dict) -> DataFrame:
@@ -149,7 +153,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SEQUENCE,
     stage = Staging(spark, "packing")
     pieces = stage.write(cut_pieces(docs, path, size, keep_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = place(_ranked(pieces, stage), slot_table(pack_histogram(histogram, size)))
+    places = place(_ranked(pieces, histogram), slot_table(pack_histogram(histogram, size)))
     return places, pieces
 
 
