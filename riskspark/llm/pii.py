@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import chunks, let, running, starts
 from .common import Staging, read_table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -65,45 +66,43 @@ def _checked(kind: str) -> Column:
 
 
 def _step(between: Column, found: Column) -> Column:
-    return F.struct(F.length(between).cast("long").alias("gap"), F.lower(F.right(between, F.lit(80))).alias("before"),
-                    found.alias("found"))
+    """A match with the length of the text before it and, of that, at least the last two words."""
+    tail = F.right(between, F.lit(80))
+    more = (F.length(between) > 80) & tail.rlike(r"\s$") & ~tail.rlike(r"\s\S+\s+\S+\s+$")
+    before = F.when(more, F.regexp_extract(between, r"(?:\S+\s+)?\S+\s+$", 0)).otherwise(tail)
+    return F.struct(F.length(between).cast("long").alias("gap"), F.lower(before).alias("before"), found.alias("found"))
+
+
+def _placed(steps: Column, span) -> Column:
+    """Spans of matches in order; ``span(first, s)`` makes one of the match that begins at ``first``."""
+    return running(steps, lambda s: s["gap"] + F.length(s["found"]), lambda at, s: span(at + s["gap"], s), _SPANS)
+
+
+def _span(first: Column, found: Column, before: Column) -> Column:
+    return F.struct(first.alias("first"), (first + F.length(found)).alias("past"), found.alias("found"), before.alias("before"))
+
+
+def _matches(text: Column, expr: str) -> Column:
+    """All matches with the text between them: that gives their places."""
+    return let(F.regexp_extract_all(text, F.lit(expr), F.lit(0)), lambda found: F.zip_with(
+        F.slice(F.split(text, expr, -1), 1, F.size(found)), found, _step))
 
 
 def spans_of(text: Column, expr: str, needs: str | None = None) -> Column:
-    """Spans (first, past, found) of all matches: the text between them gives their places."""
-    found = F.regexp_extract_all(text, F.lit(expr), F.lit(0))
-    between = F.split(text, expr, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, _step)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("all"))
-
-    def step(a, s):
-        first = a["at"] + s["gap"]
-        past = first + F.length(s["found"])
-        return F.struct(past.alias("at"), F.array_append(a["all"], F.struct(
-            first.alias("first"), past.alias("past"), s["found"].alias("found"), s["before"].alias("before"))).alias("all"))
-
-    out = F.aggregate(steps, start, step, lambda a: a["all"])
+    """Spans (first, past, found, before) of all matches."""
+    out = _placed(_matches(text, expr), lambda first, s: _span(first, s["found"], s["before"]))
     worth = text.rlike(expr) if needs is None else text.contains(needs) & text.rlike(expr)
     return F.when(worth, out).otherwise(F.array().cast(_SPANS))
 
 
 def _candidates(text: Column) -> Column:
     """Identifier-like tokens with the words before them."""
-    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    between = F.split(text, _TOKEN, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, _step)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("all"))
-
-    def step(a, s):
+    def span(first, s):
         head = F.regexp_extract(s["found"], r"^[^0-9A-Za-z+(\[:]*", 0)
         body = F.regexp_extract(s["found"], r"^[^0-9A-Za-z+(\[:]*(.*?)[^0-9A-Za-z]*$", 1)
-        first = a["at"] + s["gap"] + F.length(head)
-        return F.struct((a["at"] + s["gap"] + F.length(s["found"])).alias("at"), F.array_append(a["all"], F.struct(
-            first.alias("first"), (first + F.length(body)).alias("past"), body.alias("found"),
-            s["before"].alias("before"))).alias("all"))
+        return _span(first + F.length(head), body, s["before"])
 
-    return F.when(text.rlike(_TOKEN), F.aggregate(steps, start, step, lambda a: a["all"])).otherwise(
-        F.array().cast(_SPANS))
+    return F.when(text.rlike(_TOKEN), _placed(_matches(text, _TOKEN), span)).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -115,18 +114,28 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "h", *[_checked(k) for k in KINDS], "candidates")
 
 
+def _uncovered() -> Column:
+    """Candidates that no base span touches. Each chunk of candidates meets the spans of its own stretch."""
+    meet = lambda s, first, past: (s["first"] < past) & (s["past"] > first)
+
+    def free(chunk, spans):
+        # candidates are in order: the chunk's stretch is from its first to its last
+        near = F.filter(spans, lambda s: meet(s, chunk[0]["first"], F.element_at(chunk, -1)["past"]))
+        return let(near, lambda mine: F.filter(chunk, lambda c: ~F.exists(mine, lambda s: meet(s, c["first"], c["past"]))))
+
+    every = F.transform(F.concat(*KINDS), lambda s: F.struct(s["first"].alias("first"), s["past"].alias("past")))
+    return let(every, lambda spans: F.flatten(F.transform(chunks(F.col("candidates")), lambda chunk: free(chunk, spans))))
+
+
 def instances(base: DataFrame) -> DataFrame:
     """One row per instance, kind and pattern: doc_id, h, kind, first, past, instance, seed, pattern.
 
     Base spans are the seeds. Tokens that no base span touches are the candidates, once for each
     kind whose look they have.
     """
-    covered = F.lit(False)
-    for k in KINDS:
-        covered = covered | F.exists(k, lambda s: (s["first"] < F.col("c.past")) & (s["past"] > F.col("c.first")))
     looks = F.array_compact(F.array(*[F.when(F.col("c.found").rlike(LOOKS[k]), F.lit(k)) for k in KINDS]))
-    rows = base.where(F.size("candidates") > 0).select("doc_id", "h", *KINDS, F.explode("candidates").alias("c")).where(
-        ~covered).select("doc_id", "h", "c", F.explode(looks).alias("kind"), F.lit(False).alias("seed"))
+    rows = base.where(F.size("candidates") > 0).select("doc_id", "h", F.explode(_uncovered()).alias("c")).select(
+        "doc_id", "h", "c", F.explode(looks).alias("kind"), F.lit(False).alias("seed"))
     for k in KINDS:
         rows = rows.unionByName(base.where(F.size(k) > 0).select(
             "doc_id", "h", F.explode(k).alias("c"), F.lit(k).alias("kind"), F.lit(True).alias("seed")))
@@ -189,29 +198,36 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; n_chars follows the text."""
+    """``docs`` with every span replaced by its kind in angle brackets; n_chars follows the text. A span
+    that begins inside an earlier one goes with it. The input row travels as one column, so its
+    columns may have any names."""
     found = find_pii(spark, docs)
     spans = F.array_sort(F.transform(F.concat(*[_with_kind(k) for k in KINDS], F.col("more")), lambda s: F.struct(
         s["first"].alias("first"), s["past"].alias("past"), s["kind"].alias("kind"))))
     hit = (found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), spans.alias("spans"))
            .where(F.size("spans") > 0).dropDuplicates(["d", "g"]))
-    d = docs.withColumn("_g", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_g") == F.col("g")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(a, s):
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        gap = F.substring("text", (a["at"] + 1).cast("int"), (s["first"] - a["at"]).cast("int"))
-        return F.when(s["first"] >= a["at"], F.struct(
-            F.concat(a["out"], gap, mark).alias("out"), s["past"].alias("at"))).otherwise(
-            F.struct(a["out"].alias("out"), F.greatest(a["at"], s["past"]).alias("at")))
-
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(
-        a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
-    cols = [c for c in docs.columns]
-    d = d.withColumn("_clean", text)
-    return d.select(*[
-        F.col("_clean").alias("text") if c == "text" else
-        F.when(F.col("spans").isNull(), F.col(c)).otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c)
-        if c == "n_chars" else F.col(c) for c in cols])
+    text = F.col("row.text")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = rows.join(hit, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    past = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: F.greatest(n, s["past"]))
+    cut = lambda t, first, stop: F.substring(t, (first + 1).cast("int"), (stop - first).cast("int"))
+
+    def fold(chunk, first):
+        def step(part, a, s):  # places inside a chunk count from its start
+            mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["first"] >= a["at"], F.struct(
+                F.concat(a["out"], cut(part, a["at"] - first, s["first"] - first), mark).alias("out"), s["past"].alias("at"))).otherwise(
+                F.struct(a["out"].alias("out"), F.greatest(a["at"], s["past"]).alias("at")))
+
+        start = F.struct(F.lit("").alias("out"), first.alias("at"))
+        return let(cut(text, first, past(chunk)), lambda part: F.aggregate(
+            chunk, start, lambda a, s: step(part, a, s), lambda a: a["out"]))
+
+    pieces = let(chunks(F.col("spans")), lambda c: F.zip_with(c, starts(c, past, F.greatest), fold))
+    clean = F.concat(F.array_join(pieces, ""), cut(text, past(F.col("spans")), F.length(text)))
+    rows = rows.select("row", F.col("spans").isNotNull().alias("hit"), F.when(F.col("spans").isNotNull(), clean).alias("clean"))
+    own = lambda c: F.col(f"row.`{c}`")
+    change = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    return rows.select(*[
+        (F.when(F.col("hit"), change[c].cast(docs.schema[c].dataType)).otherwise(own(c)) if c in change else own(c)).alias(c)
+        for c in docs.columns])
