@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import chunks, let, running
 from .common import Staging, read_table
 
 OPEN, SHUT, CLOSE = "<turn ", ">", "</turn>\n"
@@ -76,12 +77,8 @@ def render(messages: DataFrame) -> DataFrame:
     size = F.zip_with("head", "body", lambda h, b: F.struct(F.length(h).alias("h"), F.length(b).alias("b")))
     t = t.select("conv_id", "head", "body", F.transform("m", lambda x: x["role"] == LEARNED_ROLE).alias("learned"),
                  size.alias("size"))
-    # Running start of each turn: one fold that carries the end of the turn before.
-    start = F.aggregate(
-        "size", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, s: F.struct((a["at"] + s["h"] + s["b"] + len(CLOSE)).alias("at"),
-                              F.array_append(a["all"], a["at"] + s["h"]).alias("all")),
-        lambda a: a["all"])
+    # Where each turn's text begins: the lengths of all before it and of its own head.
+    start = running(F.col("size"), lambda z: (z["h"] + z["b"] + len(CLOSE)).cast("long"), lambda at, z: at + z["h"], "array<bigint>")
     t = t.withColumn("start", start)
     spans = F.zip_with(
         F.arrays_zip("start", "size"), "learned",
@@ -92,30 +89,59 @@ def render(messages: DataFrame) -> DataFrame:
         spans.alias("loss"))
 
 
+def under_mask(formatted: Column, loss: Column) -> Column:
+    """The text of every span of the loss mask (empty where a turn is not learned), cut from the
+    formatted text by the stored offsets. Long conversations are cut in stretches of turns first."""
+    first = lambda c: F.array_min(F.transform(F.filter(c, lambda s: s.isNotNull()), lambda s: s["first"]))
+    past = lambda c: F.array_max(F.transform(F.filter(c, lambda s: s.isNotNull()), lambda s: s["past"]))
+    cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def stretch(c):
+        return let(F.struct(first(c).alias("at"), cut(formatted, first(c), past(c)).alias("text")), lambda part: F.transform(
+            c, lambda s: F.when(s.isNull(), F.lit("")).otherwise(cut(part["text"], s["first"] - part["at"], s["past"] - part["at"]))))
+
+    return let(chunks(loss), lambda c: F.flatten(F.transform(c, stretch)))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns: array of role and text, learned: text under the mask, formatted_chars)."""
+    """(conv_id, turns: array of role and text, learned: text under the mask, formatted_chars).
+
+    Turns come from the template, the learned text from the mask's offsets alone; where the two
+    disagree the mask does not fit the text and the job fails."""
     parts = F.filter(F.split("formatted", "<turn "), lambda x: x != "")
-    f = formatted.select("conv_id", "loss", F.length("formatted").alias("formatted_chars"), parts.alias("p"))
-    cut = F.transform("p", lambda x: F.struct(
+    cut = F.transform(parts, lambda x: F.struct(
         F.substring_index(x, ">", 1).alias("role"),
         F.substring_index(F.substring_index(x, "</turn>", 1), ">", -1).alias("body")))
-    f = f.withColumn("cut", cut)
-    masked = F.zip_with("cut", "loss", lambda c, s: F.when(
-        s.isNull(), F.lit("")).when(s["past"] - s["first"] == F.length(c["body"]), c["body"]).otherwise(
-        F.raise_error(F.lit("the loss mask does not fit the formatted text"))))
+    f = formatted.select("conv_id", "loss", F.length("formatted").alias("formatted_chars"), cut.alias("cut"),
+                         under_mask(F.col("formatted"), F.col("loss")).alias("masked"))
+    fits = F.forall(F.arrays_zip("cut", "masked", "loss"), lambda x: x["loss"].isNull() | (x["cut"]["body"] == x["masked"]))
+    learned = F.when(fits, F.array_join("masked", "")).otherwise(
+        F.raise_error(F.lit("the loss mask does not fit the formatted text")))
     return f.select(
         "conv_id", "formatted_chars",
         F.transform("cut", lambda c: F.struct(unescape(c["role"]).alias("role"), unescape(c["body"]).alias("text"))).alias("turns"),
-        unescape(F.array_join(masked, "")).alias("learned"))
+        unescape(learned).alias("learned"))
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log of whole messages; rows of one turn stay apart."""
+    """Rows (conv_id, turn, role, text) as the log that such a conversation leaves; rows of one turn
+    stay apart. An assistant's text is begun, thrown away and streamed anew in three deltas, a
+    user's is sent half written and then edited, any other is one message."""
     same = F.row_number().over(_rows_of_a_turn())
-    return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-                                F.coalesce("text", F.lit("")).alias("text")).select(
-        "conv_id", F.struct("turn", same.alias("copy")).alias("message_id"), F.lit(0).cast("long").alias("seq"),
-        F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("conv_id", F.struct("turn", same.alias("copy")).alias("message_id"), "role", "text")
+    n = F.ceil(F.length("text") / F.lit(3)).cast("int")
+    piece = lambda i: F.substring("text", n * i + 1, n)
+    draft = F.substring("text", F.lit(1), F.least(n, F.lit(12)))
+
+    def events(*some):
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if i == 0 else F.lit(None).cast(
+            "string")).alias("role"), text.alias("text")) for i, (kind, text) in enumerate(some)])
+
+    streamed = events(("message", F.lit("")), ("delta", draft), ("regenerate", F.lit("")), ("delta", piece(0)), ("delta", piece(1)), ("delta", piece(2)))
+    edited = events(("message", draft), ("edit", F.col("text")))
+    log = F.when(F.col("role") == LEARNED_ROLE, streamed).when(F.col("role") == "user", edited).otherwise(events(("message", F.col("text"))))
+    return rows.select("conv_id", "message_id", F.explode(log).alias("e")).select("conv_id", "message_id", "e.*")
 
 
 def _rows_of_a_turn():

@@ -133,6 +133,23 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(x, cum) + lens.astype(np.uint64) * SEAT[63])
 
 
+_H = np.random.Generator(np.random.PCG64(11_020))
+_EXACT = _H.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_PLACE = _H.integers(1, 2**63, 1024, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def exact_word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes as it stands."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens = ends - starts
+    first = np.cumsum(lens) - lens
+    place = (np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(first, lens).astype(np.int32)) & 1023
+    x = _EXACT[buf[np.repeat(starts - first, lens) + np.arange(int(lens.sum()))]] * _PLACE[place]
+    x ^= x >> np.uint64(29)
+    return mix(np.add.reduceat(x, first) + lens.astype(np.uint64) * _EXACT[7])
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive word hashes (rows are not told apart here)."""
     n = len(words) - k + 1

@@ -1,16 +1,24 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory (operator 3).
 
-Every line of every whole text is a sparse TF-IDF vector, and so is every template. The weights'
-document counts cover all lines of all files (one aggregation over the template vocabulary; a
-word outside it weighs as the rarest). A line belongs to the template of the highest cosine, if
-that reaches :data:`COSINE`. A file's own licence is its best line's; a file is a *licence file*
-if its name says so or at least half of its words stand in matched lines. A file without an own
-licence inherits that of the nearest ancestor directory that has a licence file: ancestors are
-exploded and joined to the directories' licences by path.
-
-Defined results: null texts have no lines; null paths have no directory; among equal cosines the
-smaller template name wins, among licence files of one directory the higher cosine, then the
-smaller path; repeated rows are judged each; an empty table gives no rows.
+A licence has several templates: its notice, title, SPDX tag and characteristic sentences of its
+body. A template of n words is compared with every window of n consecutive words of every whole
+text (a shorter text is one window), across line breaks and comment marks, as sparse TF-IDF
+vectors. The weights' document counts cover all lines of all files (one aggregation over the
+template vocabulary; a word outside it weighs as the rarest). Windows are not written out: a running
+sum bounds a window's cosine from above, and only windows whose bound reaches :data:`COSINE` are
+compared exactly; texts that hold too few of a template's words cannot have one.
+
+A file's own licence is that of its best window (open licences before reserved rights, then cosine,
+then the longer template); a file is a *licence file* if its name says so or at least half of its
+words stand in matched windows. A file without an own licence inherits that of the nearest ancestor
+directory that has a licence file; reserved rights are a licence of their own, so they stop an open
+licence of a directory further up. Ancestors are exploded and joined to the directories' licences by
+path, and the files to their directories with a salt, so a directory of a third of all files is
+spread.
+
+Defined results: null texts have no words; null paths have no directory; among equal windows the
+smaller licence name wins, then the earlier window, among licence files of one directory the higher
+cosine, then the smaller path; repeated rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Staging, read_table, slices, small_batches, text_column, utf8, word_hashes, word_spans
 
 COSINE, MAJORITY = 0.8, 0.5
+#: Bytes of text compared at once.
+SLICE_BYTES = 1_000_000
 
 # Short notices of common licences.
 TEMPLATES = {
@@ -36,6 +46,27 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Titles, SPDX tags and sentences by which the licences' own texts are known.
+BODIES = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0 (the \"License\"); "
+                   "you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software", "SPDX-License-Identifier: BSD-3-Clause"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "it under the terms of the GNU General Public License as published by "
+                "the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only",
+                "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "MIT": ["MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+            "software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+            "SPDX-License-Identifier: MIT"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+}
+#: Rights that are kept: no open licence, and none is inherited.
+RESERVED = "reserved"
+LIBRARY = {n: [t, *BODIES.get(n, [])] for n, t in TEMPLATES.items()} | {RESERVED: ["All rights reserved."]}
+#: Parts of a directory's files in the join with its licence.
+SALTS = 16
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 WORD_BYTES = np.zeros(256, bool)
@@ -49,9 +80,13 @@ def _words(text: str) -> np.ndarray:
 
 
 class Templates:
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        words = [_words(templates[n]) for n in self.names]
+    """Templates (several a licence, of different length) over one vocabulary."""
+
+    def __init__(self, templates: dict):
+        rows = sorted((n, t) for n, ts in templates.items() for t in ([ts] if isinstance(ts, str) else ts))
+        self.names = [n for n, _ in rows]
+        words = [_words(t) for _, t in rows]
+        self.sizes = [len(w) for w in words]
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
         self.counts = np.zeros((len(self.vocabulary), len(self.names)))
         for j, w in enumerate(words):
@@ -94,39 +129,64 @@ def line_counts(files: DataFrame, t: Templates) -> DataFrame:
     return files.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
-def match_lines(files: DataFrame, t: Templates, idf: np.ndarray, rare: float) -> DataFrame:
-    """Per row of files (path, text): path, h, licence, cosine, first, past (bytes of the best line), share."""
-    weight = t.counts * idf[:, None]
-    norms = np.sqrt((weight ** 2).sum(0))
+def match_windows(at: np.ndarray, t: Templates, idf: np.ndarray, rare: float, only=None) -> list:
+    """(template, cosine, first word, past) of the windows of one text that reach :data:`COSINE`: ``at`` is
+    the place of each word in the vocabulary or -1; ``only`` names the templates to be compared."""
+    own = np.append(idf, rare)[at]  # -1: the last
+    square = np.concatenate([[0.0], np.cumsum(own ** 2)])
+    found = []
+    for j in range(len(t.names)) if only is None else only:
+        n = min(t.sizes[j], len(at))
+        if not n:
+            continue
+        weight = t.counts[:, j] * idf
+        norm = math.sqrt((weight ** 2).sum())
+        dot = np.concatenate([[0.0], np.cumsum(np.append(weight, 0.0)[at] * own)])
+        dot = dot[n:] - dot[:-n]
+        # Repeated words only lengthen the window's vector: this bounds the cosine from above.
+        bound = dot / (norm * np.sqrt(square[n:] - square[:-n]))
+        for i in np.flatnonzero(bound >= COSINE - 1e-9).tolist():
+            place, tf = np.unique(at[i:i + n], return_counts=True)
+            out = place < 0  # words outside the vocabulary: each occurrence counts as a word of its own
+            size = math.sqrt(((tf[~out] * idf[place[~out]]) ** 2).sum() + tf[out].sum() * rare ** 2)
+            cos = float((tf[~out] * idf[place[~out]] * weight[place[~out]]).sum() / (norm * size))
+            if cos >= COSINE - 1e-12:
+                found.append((j, cos, i, i + n))
+    return found
+
+
+def match_files(files: DataFrame, t: Templates, idf: np.ndarray, rare: float) -> DataFrame:
+    """Per row of files (path, row, text): path, row, own, cosine, first, past (bytes of the best window), share."""
+    weight = (t.counts * idf[:, None]) ** 2
+    need = COSINE ** 2 * weight.sum(0) * (1 - 1e-9)  # squared weight of template words that a match must hold
 
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             n = b.num_rows
             buf, offs = utf8(b.column(2))
-            h, line, row, start, end = _lines(buf, offs)
-            at = t.places(h)
+            s, e, row = word_spans(buf, offs, WORD_BYTES)
+            at = t.places(word_hashes(buf, s, e))
+            begin = np.searchsorted(row, np.arange(n + 1))
             k = np.flatnonzero(at >= 0)
-            words = np.bincount(line, minlength=len(row))
-            pair, tf = np.unique(line[k] * len(t.vocabulary) + at[k], return_counts=True)
-            pl, pt = pair // len(t.vocabulary), pair % len(t.vocabulary)
-            # Words outside the vocabulary: each occurrence counts as a word of its own.
-            square = np.bincount(pl, (tf * idf[pt]) ** 2, len(row)) + (words - np.bincount(pl, tf, len(row))) * rare ** 2
-            best, which = np.zeros(len(row)), np.full(len(row), -1)
-            for j in range(len(t.names)):
-                dot = np.bincount(pl, tf * idf[pt] * weight[pt, j], len(row))
-                cos = dot / np.maximum(np.sqrt(square) * norms[j], 1e-12)
-                better = cos > best + 1e-12
-                best[better], which[better] = cos[better], j
-            good = np.flatnonzero(best >= COSINE - 1e-12)
+            pair = np.unique(row[k] * max(1, len(t.vocabulary)) + at[k])
+            held = np.zeros((n, len(t.vocabulary)), bool)
+            held[pair // max(1, len(t.vocabulary)), pair % max(1, len(t.vocabulary))] = True
+            may = held @ weight >= need if len(t.names) else np.zeros((n, 0), bool)
             licence, cosine = [None] * n, [0.0] * n
             first, past, share = [None] * n, [None] * n, np.zeros(n)
-            every = np.maximum(np.bincount(row, words, n), 1)
-            for i in good.tolist():
-                r = int(row[i])
-                share[r] += words[i] / every[r]
-                if best[i] > cosine[r] + 1e-12:
-                    licence[r], cosine[r] = t.names[which[i]], float(best[i])
-                    first[r], past[r] = int(start[i] - offs[r]), int(end[i] - offs[r])
+            for r in np.flatnonzero(may.any(axis=1)).tolist():
+                lo, hi = int(begin[r]), int(begin[r + 1])
+                found = match_windows(at[lo:hi], t, idf, rare, np.flatnonzero(may[r]).tolist())
+                if not found:
+                    continue
+                j, cos, i, stop = min(found, key=lambda x: (t.names[x[0]] == RESERVED, -round(x[1], 9), -t.sizes[x[0]], t.names[x[0]], x[2]))
+                licence[r], cosine[r] = t.names[j], cos
+                first[r], past[r] = int(s[lo + i] - offs[r]), int(e[lo + stop - 1] - offs[r])
+                cover = np.zeros(hi - lo + 1, np.int64)
+                for _, _, x, y in found:
+                    cover[x] += 1
+                    cover[y] -= 1
+                share[r] = (np.cumsum(cover[:-1]) > 0).sum() / (hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(licence, pa.string()), pa.array(cosine, pa.float64()),
                  pa.array(first, pa.int64()), pa.array(past, pa.int64()), pa.array(share)],
@@ -142,7 +202,7 @@ def ancestors(path):
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def scan_licences(spark: SparkSession, files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licences(spark: SparkSession, files: DataFrame, templates: dict = LIBRARY) -> DataFrame:
     """Licences of files (path, row: any number that names the row, text): own, cosine, inherited, licence, source."""
     small_batches(spark)
     stage = Staging(spark, "licences")
@@ -151,7 +211,7 @@ def scan_licences(spark: SparkSession, files: DataFrame, templates: dict[str, st
     counts = {r["place"]: r["n"] for r in line_counts(files, t).collect()}  # as many rows as the vocabulary has words
     total = counts.get(-1, 0)
     idf = np.array([math.log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(t.vocabulary))])
-    found = stage.write(match_lines(files, t, idf, math.log(1 + total) + 1), "found")
+    found = stage.write(match_files(files, t, idf, math.log(1 + total) + 1), "found")
 
     name = F.element_at(F.split("path", "/"), -1)
     own = found.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (name.rlike(FILE_NAMES) | (F.col("share") >= MAJORITY)))
@@ -164,8 +224,15 @@ def scan_licences(spark: SparkSession, files: DataFrame, templates: dict[str, st
     climb = asked.select("home", F.posexplode(ancestors(F.concat("home", F.lit("/x")))).alias("depth", "dir"))
     climb = climb.where((F.col("depth") == 0) | (F.col("dir") != "")).join(directories, "dir").groupBy("home").agg(
         F.max(F.struct("depth", "dir_licence", "dir_source")).alias("near"))
+    # Files with a licence of their own, or without a path, take no part in the join; the others meet
+    # their directory's licence in one of SALTS parts.
+    salted = climb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("home", "h")
+    asks = F.col("own").isNull() & F.col("path").isNotNull()
+    homeless = found.where(~asks).withColumn("near", F.lit(None).cast(climb.schema["near"].dataType))
     home = F.element_at(ancestors(F.col("path")), -1)
-    out = found.withColumn("home", F.when(F.col("own").isNull(), home)).join(climb, "home", "left")
+    below = found.where(asks).withColumn("home", home).withColumn("s", F.pmod(F.xxhash64("path", "row"), F.lit(SALTS)).cast("int"))
+    below = below.join(salted, (F.col("home") == F.col("h")) & (F.col("s") == F.col("salt")), "left").select(*homeless.columns)
+    out = homeless.unionByName(below)
     return out.select(
         "path", "row", "own", "cosine", "first", "past", F.col("near.dir_licence").alias("inherited"),
         F.coalesce("own", "near.dir_licence").alias("licence"),

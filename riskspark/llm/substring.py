@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staging, mix, read_table, slices, small_batches, utf8, word_spans
+from .common import Staging, exact_word_hashes, mix, read_table, slices, small_batches, utf8, word_spans
 
 WIDTH = 20
 #: Bytes of text whose windows one hash range gets (about 1.3 million windows).
@@ -39,9 +39,6 @@ LAST = 2**63 - 1
 SPACE = np.ones(256, bool)
 SPACE[0x20] = SPACE[0x09:0x0E] = False
 
-_G = np.random.Generator(np.random.PCG64(11_020))
-_BYTE = _G.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_PLACE = _G.integers(1, 2**63, 1024, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 RANGES = "part int, hash binary, doc binary, start binary, known boolean"
@@ -50,18 +47,6 @@ FOUND = "doc long, start binary, hash binary"
 KEPT = ("doc_id long, n_words long, n_removed long, intervals array<struct<first:long,past:long>>, kept string")
 
 
-def exact_word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of bytes as it stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    place = (np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(first, lens).astype(np.int32)) & 1023
-    x = _BYTE[buf[np.repeat(starts - first, lens) + np.arange(int(lens.sum()))]] * _PLACE[place]
-    x ^= x >> np.uint64(29)
-    return mix(np.add.reduceat(x, first) + lens.astype(np.uint64) * _BYTE[7])
-
-
 def _inverse(b: np.uint64) -> np.uint64:
     return np.uint64(pow(int(b), -1, 2**64))
 

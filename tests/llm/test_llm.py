@@ -156,21 +156,6 @@ def test_language(spark, docs, empty):
     assert language.identify(spark, empty, models).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["abracadabra abba", "barbara"]
-    u, b, e = language.units_of(texts)
-    at, _ = language._places(b, e)
-    g, n = np.unique(language.grams_at(u, at, 4), return_counts=True)
-    m = language.Models({"x": (g, n)})
-    for ctx in ("abr", "zzz", "bar"):
-        low = language.units_of([ctx])[0][-3:]
-        head = sum(int(c) << (16 * (3 - i)) for i, c in enumerate(low))
-        every = np.array([head | c for c in sorted({int(x) for x in u})], np.uint64)
-        unseen = np.array([head | 0x4E00], np.uint64)
-        total = np.exp(m.log_probability(every, 4)).sum() + np.exp(m.log_probability(unseen, 4)).sum()
-        assert abs(total - 1) < 1e-4
-
-
 # ---------------------------------------------------------------- 3
 
 def test_licences(spark, empty):
