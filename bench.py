@@ -18,7 +18,9 @@ from riskspark.plans.queries import Q, SQL  # noqa: E402
 from riskspark.session import build_session  # noqa: E402
 
 # Model training is measured separately (it is dominated by iteration count, not data).
-SKIP = {"train_compare", "feature_importance", "score_batch", "artifact_manifest", "io_roundtrip"}
+# Queries that write and read back several stores are dominated by their number of small jobs.
+SKIP = {"train_compare", "feature_importance", "score_batch", "artifact_manifest", "io_roundtrip", "io_values",
+        "stream_scores", "score_requests", "store_failover"}
 
 
 def run(df) -> None:
