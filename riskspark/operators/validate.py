@@ -17,14 +17,15 @@ def choose_model(col, allowed: list[str] | None = None, default: str = DEFAULT_M
 
 
 def _numbers(df: DataFrame, feature_cols: list[str], nan_ok: bool) -> DataFrame:
-    """``df`` with ``_nums`` (the features as an array of doubles, NULL where ``try_cast`` fails) and
-    ``bad_features``. Two functions over one array: the plan does not grow with the features."""
+    """``df`` with ``_nums`` (per feature its name and its ``num``, NULL where ``try_cast`` fails) and
+    ``bad_features``. Functions over one array: the plan does not grow with the features. Name and
+    number go together, so ``bad_features`` reads ``_nums`` once: a filter on it that Spark pushes
+    below this step converts every feature once, not all of them again for each feature."""
     texts = F.array(*[F.col(c).cast("string") for c in feature_cols])
     names = F.array(*[F.lit(c) for c in feature_cols])
-    out = df.withColumn("_nums", F.transform(texts, lambda t: t.try_cast("double")))
-    bad = lambda name, k: F.col("_nums")[k].isNull() if nan_ok else (
-        F.col("_nums")[k].isNull() | F.isnan(F.col("_nums")[k]))
-    return out.withColumn("bad_features", F.filter(names, bad))
+    out = df.withColumn("_nums", F.transform(texts, lambda t, k: F.struct(names[k].alias("name"), t.try_cast("double").alias("num"))))
+    bad = lambda x: x["num"].isNull() if nan_ok else x["num"].isNull() | F.isnan(x["num"])
+    return out.withColumn("bad_features", F.transform(F.filter("_nums", bad), lambda x: x["name"]))
 
 
 def quarantine(df: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def quarantine(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     that are missing or not numeric and ``valid`` says whether the row can be scored.
     Split with ``where(valid)`` / ``where(~valid)`` - no exception kills the batch."""
     q = _numbers(df, feature_cols, nan_ok=True)
-    return q.select(*df.columns, *[F.col("_nums")[k].alias(f"{c}_num") for k, c in enumerate(feature_cols)],
+    return q.select(*df.columns, *[F.col("_nums")[k]["num"].alias(f"{c}_num") for k, c in enumerate(feature_cols)],
                     "bad_features", (F.size("bad_features") == F.lit(0)).alias("valid"))
 
 
@@ -44,7 +45,7 @@ def split_requests(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, D
     q = _numbers(df.withColumns({c: F.lit(None).cast("string") for c in absent}), feature_cols, nan_ok=False)
     good = F.size("bad_features") == 0
     at = {c: k for k, c in enumerate(feature_cols)}
-    return (q.where(good).select(*[F.col("_nums")[at[c]].alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
+    return (q.where(good).select(*[F.col("_nums")[at[c]]["num"].alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
             q.where(~good).select(*df.columns, "bad_features"))
 
 
