@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_MODEL, MODEL_KEYS
 from .joins import broadcast_if_small
+from .staged import Staged
 
 
 def choose_model(col, allowed: list[str] | None = None, default: str = DEFAULT_MODEL):
@@ -49,6 +50,22 @@ def split_requests(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, D
             q.where(~good).select(*df.columns, "bad_features"))
 
 
+def staged_requests(df: DataFrame, feature_cols: list[str], stage: Staged, name: str = "requests") -> tuple[DataFrame, DataFrame]:
+    """:func:`split_requests` with the conversion done once: every row is written with its numbers (or, when
+    it is rejected, as it came) and ``bad_features``, and both frames read that table. Each model's pass is
+    then a scan. No filter stands on the conversion itself: one over many features makes Spark's
+    constraints double with every feature, and planning never ends."""
+    absent = [c for c in feature_cols if c not in df.columns]
+    q = _numbers(df.withColumns({c: F.lit(None).cast("string") for c in absent}), feature_cols, nan_ok=False)
+    at = {c: k for k, c in enumerate(feature_cols)}
+    good = F.size("bad_features") == 0
+    table = stage.write(q.select(
+        *[F.when(~good, F.col(c)).alias(c) if c in at else F.col(c) for c in df.columns],
+        *[F.when(good, F.col("_nums")[k]["num"]).alias(f"_num_{k}") for k in range(len(feature_cols))], "bad_features"), name)
+    return (table.where(good).select(*[F.col(f"_num_{at[c]}").alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
+            table.where(~good).select(*df.columns, "bad_features"))
+
+
 def rule_violations(df: DataFrame, rules: list[tuple]) -> DataFrame:
     """``rules`` = (column, lo, hi, allowed codes); a NULL value is not checked.
     Adds ``violations``: the names of the rules a row breaks."""

@@ -695,6 +695,7 @@ def q_score_batch(spark, sf):
     reloaded pipelines and stamped with the model's artefact digest."""
     from ..operators import ml
     from ..sources.artifacts import artifact_manifest, load_model, save_model
+    from ..operators.staged import Staged
     from ..session import shared_dir
     import uuid
     _, models, _ = _trained(spark, sf)
@@ -709,7 +710,7 @@ def q_score_batch(spark, sf):
         F.when(F.col("label") == 9, F.lit("n/a")).otherwise(F.col("f0").cast("string")).alias("f0"),
         F.when(F.col("f1") < 0.15, F.col("f1")).cast("string").alias("f1"),
         *[F.col(f).cast("string") for f in EMB_FEATURES[2:]])
-    good, bad = validate.split_requests(requests, EMB_FEATURES)
+    good, bad = validate.staged_requests(requests, EMB_FEATURES, Staged(spark, "requests"))
     out = ml.score_by_model(loaded, good.withColumn("model_used", validate.choose_model("requested")))
     manifest = artifact_manifest(spark, root, list(loaded)).select(
         F.col("model").alias("model_used"), F.col("sha256").alias("model_hash"))
