@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import safe_double
 from ..functions.text import display_to_key, iso_text, key_to_display, pct_text
 from ..operators import clean, evaluate, history, ml, ordered, stats, validate
+from ..operators.staged import Staged
 from ..schemas import (CODE_LABELS, DEFAULT_MODEL, FEATURE_KEYS, FORM_RULES, ROLLING_DIVISOR, TEST_FRACTION,
                        UNKNOWN_MODEL)
 from ..session import shared_dir
@@ -181,7 +182,7 @@ FROM p""")
 def q_score_requests(spark, sf):
     """Requests are validated, bad ones rejected with the features at
     fault, the others scored by the saved and reloaded pipeline they name."""
-    good, bad = validate.split_requests(_form_requests(spark, sf), L_FEATURES)
+    good, bad = validate.staged_requests(_form_requests(spark, sf), L_FEATURES, Staged(spark, "requests"))
     scored = ml.score_by_model(_fixed_models(spark), good.withColumn("model_used", validate.choose_model("model")))
     out = scored.select(*_KEY, "model_used", "prediction", "probability", F.lit("").alias("bad_features"))
     return round_doubles(out.unionByName(bad.select(*_KEY, F.array_join("bad_features", ",").alias("bad_features")),
