@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.bands import risk_band, risk_percent
 from ..operators.ordered import ntz_micros
-from ..operators.validate import split_requests
+from ..operators.staged import Staged
+from ..operators.validate import staged_requests
 from ..schemas import HIGH_KPI_PERCENT
 from ..session import shared_dir
 from ..sources.sinks import append_history, append_with_fallback
@@ -146,9 +147,11 @@ def score_stream(spark: SparkSession, requests_path: str, schema: T.StructType,
     allowed = list(models)
     hashes = F.create_map(*[F.lit(x) for kv in (model_hashes or {}).items() for x in kv]) if model_hashes else None
 
+    stage = Staged(spark, "stream-requests") if feature_cols else None
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if feature_cols:
-            batch, bad = split_requests(batch, feature_cols)
+        if feature_cols:  # parsed and converted once a batch; the next batch overwrites the table
+            batch, bad = staged_requests(batch, feature_cols, stage)
             append_history(bad, **rejected, batch_id=batch_id)
         chosen = batch.withColumn("model_used", F.when(F.col(model_col).isin(*allowed), F.col(model_col))
                                   .otherwise(F.lit(default_model)))
