@@ -157,7 +157,8 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     for pos, (name, est) in enumerate(estimators.items()):
         model = Pipeline(stages=[*before, assembler, est]).fit(train)
         if isinstance(model.stages[-1], RandomForestClassificationModel):  # how it was fitted is not part of the artefact
-            model.stages[-1].clear(model.stages[-1].cacheNodeIds)
+            for m in (model.stages[-1], *model.stages[-1].trees):
+                m.clear(m.cacheNodeIds)
         models[name] = model
         pred = score(model, test).select(label_col, "prediction", "probability").persist()
         m = classification_metrics(pred, label_col, "prediction").select(
