@@ -52,18 +52,24 @@ def split_requests(df: DataFrame, feature_cols: list[str]) -> tuple[DataFrame, D
 
 def staged_requests(df: DataFrame, feature_cols: list[str], stage: Staged, name: str = "requests") -> tuple[DataFrame, DataFrame]:
     """:func:`split_requests` with the conversion done once: every row is written with its numbers (or, when
-    it is rejected, as it came) and ``bad_features``, and both frames read that table. Each model's pass is
-    then a scan. No filter stands on the conversion itself: one over many features makes Spark's
-    constraints double with every feature, and planning never ends."""
+    it is rejected, as it came), ``bad_features`` and whether it is good, and both frames read that table. Each
+    model's pass is then a scan. No filter stands on the conversion itself: one over many features makes Spark's
+    constraints double with every feature, and planning never ends. Conversion and test are plain columns that
+    Spark compiles; only rejected rows go through a function over their features, to name the bad ones."""
     absent = [c for c in feature_cols if c not in df.columns]
-    q = _numbers(df.withColumns({c: F.lit(None).cast("string") for c in absent}), feature_cols, nan_ok=False)
     at = {c: k for k, c in enumerate(feature_cols)}
-    good = F.size("bad_features") == 0
+    nums = F.array(*[F.col(c).cast("string").try_cast("double") for c in feature_cols])
+    # NULL for a row with a NULL and without NaN: not good either.
+    good = F.coalesce(~F.array_contains("_nums", F.lit(float("nan"))), F.lit(False))
+    q = df.withColumns({c: F.lit(None).cast("string") for c in absent}).withColumn("_nums", nums).withColumn("_good", good)
+    num = lambda k: F.col("_nums")[k]
+    named = F.array(*[F.when(num(k).isNull() | F.isnan(num(k)), F.lit(c)) for c, k in at.items()])
     table = stage.write(q.select(
-        *[F.when(~good, F.col(c)).alias(c) if c in at else F.col(c) for c in df.columns],
-        *[F.when(good, F.col("_nums")[k]["num"]).alias(f"_num_{k}") for k in range(len(feature_cols))], "bad_features"), name)
-    return (table.where(good).select(*[F.col(f"_num_{at[c]}").alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
-            table.where(~good).select(*df.columns, "bad_features"))
+        *[F.when(~F.col("_good"), F.col(c)).alias(c) if c in at else F.col(c) for c in df.columns],
+        *[F.when(F.col("_good"), num(k)).alias(f"_num_{k}") for k in range(len(feature_cols))], "_good",
+        F.when(~F.col("_good"), F.filter(named, lambda x: x.isNotNull())).alias("bad_features")), name)
+    return (table.where("_good").select(*[F.col(f"_num_{at[c]}").alias(c) if c in at else F.col(c) for c in [*df.columns, *absent]]),
+            table.where(~F.col("_good")).select(*df.columns, "bad_features"))
 
 
 def rule_violations(df: DataFrame, rules: list[tuple]) -> DataFrame:
