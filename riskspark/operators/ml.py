@@ -135,10 +135,13 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     the split, as the training script does (T8); either way they are a stage of every returned
     pipeline, so raw rows are scored as they were trained.
 
+    The candidates do not depend on each other and are fitted and evaluated at once: on small tables a
+    fit is hundreds of small jobs that leave most cores idle.
+
     Returns the comparison frame (model, position, accuracy, precision, recall, f1_score,
     roc_auc), the fitted pipelines and the best model's name.
     """
-    from ..session import shared_dir
+    from ..session import at_once, shared_dir
     shared_dir(df.sparkSession)  # checkpoint folder for the ensembles' periodic lineage cuts
     data = deterministic_split(df.withColumn(label_col, F.col(label_col).cast("double")),
                                test_fraction, seed, key_cols=key_cols or [*feature_cols, label_col])
@@ -152,14 +155,13 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
     estimators = estimators or candidate_estimators(n_train, seed, label=label_col)
     inputs = [f"_z_{c}" for c in feature_cols] if scale else feature_cols
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
-    models, rows = {}, []
     spark = df.sparkSession
-    for pos, (name, est) in enumerate(estimators.items()):
+
+    def fitted(pos: int, name: str, est) -> tuple[PipelineModel, tuple]:
         model = Pipeline(stages=[*before, assembler, est]).fit(train)
         if isinstance(model.stages[-1], RandomForestClassificationModel):  # how it was fitted is not part of the artefact
             for m in (model.stages[-1], *model.stages[-1].trees):
                 m.clear(m.cacheNodeIds)
-        models[name] = model
         pred = score(model, test).select(label_col, "prediction", "probability").persist()
         m = classification_metrics(pred, label_col, "prediction").select(
             "accuracy", "precision", "recall", "f1_score")
@@ -167,8 +169,10 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
         mrow = m.collect()[0]
         arow = a.collect()[0]
         pred.unpersist()
-        rows.append((name, pos, mrow["accuracy"], mrow["precision"], mrow["recall"], mrow["f1_score"],
-                     arow["roc_auc"]))
+        return model, (name, pos, mrow["accuracy"], mrow["precision"], mrow["recall"], mrow["f1_score"], arow["roc_auc"])
+
+    done = at_once(spark, [lambda p=p, n=n, e=e: fitted(p, n, e) for p, (n, e) in enumerate(estimators.items())])
+    models, rows = dict(zip(estimators, (m for m, _ in done))), [r for _, r in done]
     train.unpersist()
     test.unpersist()
     results = spark.createDataFrame(rows, "model string, position int, accuracy double, precision double, "

@@ -694,15 +694,14 @@ def q_score_batch(spark, sf):
     scored by the model they name (an unknown key falls back to the default) with the saved and
     reloaded pipelines and stamped with the model's artefact digest."""
     from ..operators import ml
-    from ..sources.artifacts import artifact_manifest, load_model, save_model
+    from ..sources.artifacts import artifact_manifest, load_models, save_models
     from ..operators.staged import Staged
     from ..session import shared_dir
     import uuid
     _, models, _ = _trained(spark, sf)
     root = shared_dir(spark, f"riskspark-models-{uuid.uuid4().hex}")
-    for name, m in models.items():
-        save_model(m, f"{root}/{ml.model_key(name)}")
-    loaded = {ml.model_key(n): load_model(f"{root}/{ml.model_key(n)}") for n in models}
+    save_models(spark, {ml.model_key(n): m for n, m in models.items()}, root)
+    loaded = load_models(spark, [ml.model_key(n) for n in models], root)
     requests = learnable_view(spark, sf).select(
         "vec_id", "target",
         F.when(F.col("label") <= 3, F.lit("logistic_regression"))
@@ -724,13 +723,12 @@ def q_score_batch(spark, sf):
 @register("artifact_manifest")
 def q_artifact_manifest(spark, sf):
     from ..operators import ml
-    from ..sources.artifacts import artifact_manifest, save_model
+    from ..sources.artifacts import artifact_manifest, save_models
     from ..session import shared_dir
     import uuid
     _, models, _ = _trained(spark, sf)
     root = shared_dir(spark, f"riskspark-models-{uuid.uuid4().hex}")
-    for name, m in models.items():
-        save_model(m, f"{root}/{ml.model_key(name)}")
+    save_models(spark, {ml.model_key(n): m for n, m in models.items()}, root)
     return artifact_manifest(spark, root, [ml.model_key(n) for n in models] + ["heart_model"])
 
 

@@ -165,13 +165,10 @@ p AS (SELECT *, CASE WHEN model_used = 'logistic_regression' THEN {_fixed_sql('l
 
 def _fixed_models(spark) -> dict:
     """The fixed pipelines after a save and a load."""
-    from ..sources.artifacts import load_model, save_model
+    from ..sources.artifacts import load_models, save_models
     root = shared_dir(spark, f"riskspark-fixed-{uuid.uuid4().hex}")
-    out = {}
-    for k, (b0, b) in FIXED.items():
-        save_model(ml.logistic_pipeline(spark, L_FEATURES, b, b0), f"{root}/{k}")
-        out[k] = load_model(f"{root}/{k}")
-    return out
+    save_models(spark, {k: ml.logistic_pipeline(spark, L_FEATURES, b, b0) for k, (b0, b) in FIXED.items()}, root)
+    return load_models(spark, list(FIXED), root)
 
 
 @register("score_requests", _SCORED_SQL + f"""

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import SparkSession
+from pyspark.util import inheritable_thread_target
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "riskspark",
@@ -55,3 +58,11 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
     if not sub:
         return base
     return base.rstrip("/") + "/" + sub
+
+
+def at_once(spark: SparkSession, calls: list[Callable[[], object]]) -> list:
+    """The results of ``calls`` in their order. Each runs in a driver thread of its own, so the small
+    stages of one use the cores that the others leave idle. Only for calls that do not depend on each other."""
+    run = inheritable_thread_target(spark)(lambda call: call())
+    with ThreadPool(max(len(calls), 1)) as pool:
+        return pool.map(run, calls, chunksize=1)

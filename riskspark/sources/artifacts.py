@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import at_once
+
 
 def save_model(model: PipelineModel, path: str) -> None:
     """K7: Spark ML persistence (the scaler and assembler are stages of the pipeline)."""
@@ -19,6 +21,16 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_models(spark: SparkSession, models: dict[str, PipelineModel], root: str) -> None:
+    """K7 for each model, below ``root`` under its key."""
+    at_once(spark, [lambda k=k, m=m: save_model(m, f"{root}/{k}") for k, m in models.items()])
+
+
+def load_models(spark: SparkSession, keys: list[str], root: str) -> dict[str, PipelineModel]:
+    """S7 for each key below ``root``."""
+    return dict(zip(keys, at_once(spark, [lambda k=k: load_model(f"{root}/{k}") for k in keys])))
+
+
 #: What a save adds that is not the model: its time and the random part of object names.
 _WHEN = r'\\?"timestamp\\?":\d+,?'
 _NAME = r"_[0-9a-f]{12,32}"
