@@ -121,16 +121,26 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, allowed: np.ndarray):
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+#: Bytes of words that are hashed at once: eight-byte arrays of them are made.
+HASHED = 200_000
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of bytes, A-Z taken as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    cum = np.cumsum(lens) - lens
-    where = np.arange(int(lens.sum())) - np.repeat(cum, lens)
-    x = _BYTE[buf[np.repeat(starts, lens) + where]] * _POS[where & 1023]
-    x ^= x >> np.uint64(29)
-    return mix(np.add.reduceat(x, cum) + lens.astype(np.uint64) * SEAT[63])
+    done = np.cumsum(lens)
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] - lens[lo] + HASHED, side="right")))
+        some = lens[lo:hi]
+        cum = np.cumsum(some) - some
+        where = np.arange(int(some.sum())) - np.repeat(cum, some)
+        x = _BYTE[buf[np.repeat(starts[lo:hi], some) + where]] * _POS[where & 1023]
+        x ^= x >> np.uint64(29)
+        out[lo:hi] = mix(np.add.reduceat(x, cum) + some.astype(np.uint64) * SEAT[63])
+        lo = hi
+    return out
 
 
 _H = np.random.Generator(np.random.PCG64(11_020))

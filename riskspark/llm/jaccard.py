@@ -45,8 +45,11 @@ SHINGLE = 5
 #: A link: NUMBER * intersection >= SHARE * union.
 NUMBER, SHARE = 100, 75
 BINS, BANDS = 64, 16
-#: Tokens a task holds before it deals them, tokens of one hash range, and of a piece that needs no range.
-HELD, RANGE, PIECE = 1_500_000, 1_000_000, 100_000
+#: Bytes of text that are made sets at once.
+SLICE_BYTES = 1_000_000
+#: Tokens a task holds before it deals them, tokens of one hash range, and of one dealt piece. A group is held
+#: by an executor's JVM and a Python worker at once, a piece is one row of a shuffle: both stay small.
+HELD, RANGE, PIECE = 1_000_000, 300_000, 10_000
 #: Tokens of one block of an opened group, and of the nodes that ask it in one task.
 BLOCK, ASKERS = 4_000, 200_000
 
@@ -107,7 +110,7 @@ def band_keys(x: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, h: hash of the text, n, node, bands) of every row."""
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(*utf8(b.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()),
@@ -128,7 +131,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for node, col in ((0, 2), (1, 3)):
                 at = [i for x, i in {x: i for i, x in enumerate(b.column(node).to_pylist())}.items() if x not in t]
                 if at:
-                    for part in slices([b.take(pa.array(at))], b.schema.names[col]):
+                    for part in slices([b.take(pa.array(at))], b.schema.names[col], SLICE_BYTES):
                         t.update(zip(part.column(node).to_pylist(), shingle_sets(*utf8(part.column(col)))))
             keep = []
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -176,55 +179,66 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 def dealt_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
     """Prefix tokens by ``part``: a hash range, or from ``n_ranges`` on tokens that a task saw in several nodes.
 
-    The latter need no grouping; they come in pieces of at most :data:`PIECE` rows, spread by a hash
-    of the task's partition and the piece.
+    The latter need no grouping; they are spread by a hash of the task's partition and the piece. A row
+    has at most :data:`PIECE` tokens.
     """
     shape = "part int, tokens binary, nodes binary, sizes binary, many binary"
 
     def deal(batches):
-        held: list = []
+        held: dict = {}  # by node: the copies of a set are one
         size = serial = 0
         partition = TaskContext.get().partitionId()
 
         def dealt():
             nonlocal serial
-            tokens, nodes, sizes = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((nodes, tokens))
-            tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-            new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))
-            tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
+            owners, lens = np.array(list(held), np.int64), np.array([n for n, _ in held.values()], np.int32)
+            tokens = np.concatenate([p for _, p in held.values()])
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(p) for _, p in held.values()])
+            held.clear()
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             many = np.diff(np.append(first, len(tokens))) > 1
-            rest = np.repeat(many, np.diff(np.append(first, len(tokens))))
-            parts, several = [], np.flatnonzero(rest)
+            several = np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(tokens)))))
             for i in range(0, len(several), PIECE):
                 at = several[i:i + PIECE]
                 spread = int(mix(np.array([(partition << 32) + serial + 1], np.uint64))[0] % np.uint64(n_ranges))
-                parts.append((n_ranges + spread, tokens[at], nodes[at], sizes[at], np.ones(len(at), bool)))
+                yield n_ranges + spread, tokens[at], owners[owner[at]], lens[owner[at]], np.ones(len(at), bool)
                 serial += 1
             place = (((tokens[first] >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(place, np.arange(n_ranges + 1))
             for r in range(n_ranges):
-                if cut[r] < cut[r + 1]:
-                    f = first[cut[r]:cut[r + 1]]
-                    parts.append((r, tokens[f], nodes[f], sizes[f], many[cut[r]:cut[r + 1]]))
-            for part in parts:
-                if len(part[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part[0]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in part[1:]]],
-                        ["part", "tokens", "nodes", "sizes", "many"])
-
-        for b in slices(batches, "text"):
+                for i in range(cut[r], cut[r + 1], PIECE):
+                    to = min(i + PIECE, cut[r + 1])
+                    f = first[i:to]
+                    yield r, tokens[f], owners[owner[f]], lens[owner[f]], many[i:to]
+
+        def rows():
+            some, tokens = [], 0
+            for piece in dealt():
+                some.append((piece[0], *(x.tobytes() for x in piece[1:])))
+                tokens += len(piece[1])
+                if tokens >= PIECE:
+                    yield batch(some)
+                    some, tokens = [], 0
+            if some:
+                yield batch(some)
+
+        def batch(some):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip(zip(*some), (pa.int32(), *[pa.binary()] * 4))],
+                ["part", "tokens", "nodes", "sizes", "many"])
+
+        for b in slices(batches, "text", SLICE_BYTES):
             for x in shingle_sets(*utf8(b.column(0))):
-                if len(x):
-                    p = x[:prefix_size(len(x))]
-                    held.append((p, np.full(len(p), node_of(x), np.int64), np.full(len(p), len(x), np.int32)))
-                    size += len(p)
+                if len(x) and (node := node_of(x)) not in held:
+                    held[node] = len(x), x[:prefix_size(len(x))].copy()
+                    size += len(held[node][1])
             if size >= HELD:
-                yield from dealt()
-                held, size = [], 0
+                yield from rows()
+                size = 0
         if held:
-            yield from dealt()
+            yield from rows()
 
     return docs.select("text").mapInArrow(deal, shape)
 
@@ -232,16 +246,16 @@ def dealt_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
 def shared_prefix_tokens(docs: DataFrame, n_ranges: int) -> DataFrame:
     """(token, node, n) of the prefix tokens that at least two nodes hold."""
     def shared(table: pa.Table) -> pa.Table:
-        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
+        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]])
         tokens, nodes, sizes, many = read("tokens", np.uint64), read("nodes", np.int64), read("sizes", np.int32), read("many", bool)
         if table["part"][0].as_py() < n_ranges:
             order = np.lexsort((nodes, tokens))
             tokens, nodes, sizes, many = tokens[order], nodes[order], sizes[order], many[order]
             new = np.append(True, tokens[1:] != tokens[:-1])
-            run = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
             other = np.append(False, nodes[1:] != nodes[:-1]) & ~new
-            wanted = (np.bincount(run, other) + np.bincount(run, many)) > 0
-            keep = wanted[run] & ~many  # a task that saw several nodes has dealt them all already
+            wanted = np.logical_or.reduceat(other | many, first)
+            keep = np.repeat(wanted, np.diff(np.append(first, len(tokens)))) & ~many  # a task that saw several nodes has dealt them all already
             tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
         return pa.table({"token": tokens.view(np.int64), "node": nodes, "n": sizes.astype(np.int64)})
 
@@ -420,7 +434,7 @@ def prefix_size_sql(n: str):
 def whole_sets(rows: DataFrame) -> DataFrame:
     """(token, node, g, n) for rows (node, text, g)."""
     def run(batches):
-        for b in slices(batches, "text", 1_000_000):
+        for b in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(*utf8(b.column(1)))
             lens = np.array([len(x) for x in sets], np.int64)
             yield pa.RecordBatch.from_arrays(

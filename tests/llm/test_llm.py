@@ -5,13 +5,17 @@ import hashlib
 import os
 import re
 import sys
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riskspark.llm import (ann, chat, decontam, jaccard, language, license, packing, pii, tokenfiles, toxicity)
-from riskspark.llm.common import read_table
+from riskspark.llm.common import read_table, utf8, word_hashes, word_spans
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, g string, node int"
@@ -107,6 +111,37 @@ def test_jaccard_blocks_of_an_opened_group(spark, monkeypatch):
     assert got
 
 
+def test_jaccard_dealt_rows_stay_small(spark):
+    """A piece is one row of a shuffle (2 MB before): at most 10,000 tokens of 8 bytes, of ranges and shared tokens alike."""
+    texts = [" ".join(f"w{i % 3}x{k}" for k in range(20_000)) + f" end{i}" for i in range(12)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = jaccard.dealt_prefix_tokens(df, 1).select("part", F.length("tokens").alias("t"), F.length("nodes").alias("n"),
+                                                    F.length("sizes").alias("s"), F.length("many").alias("m")).collect()
+    assert {r["part"] for r in got} == {0, 1}
+    assert all(r["t"] == r["n"] == 2 * r["s"] == 8 * r["m"] <= 80_000 for r in got)
+    pairs = [(r["token"], r["node"]) for r in jaccard.shared_prefix_tokens(df, 1).collect()]
+    buf, offs = utf8(pa.array(texts))
+    sets = {jaccard.node_of(x): x[:jaccard.prefix_size(len(x))].view(np.int64).tolist() for x in jaccard.shingle_sets(buf, offs)}
+    often = Counter(t for x in sets.values() for t in x)
+    assert sorted(pairs) == sorted((t, node) for node, x in sets.items() for t in x if often[t] > 1)
+
+
+def test_word_hashes_take_memory_of_a_bounded_piece():
+    """Making the hashes of 4 MB of words took some 50 bytes for each byte at once."""
+    text = " ".join(["a", "Bc", "x" * 3_000, "\u00e9t\u00e9", "y" * 250_000] + [f"w{i % 997}" for i in range(700_000)])
+    buf, offs = utf8(pa.array([text, "", "Bc a"]))
+    starts, ends, _ = word_spans(buf, offs, jaccard.NO_SPACE)
+    tracemalloc.start()
+    got = word_hashes(buf, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(buf)
+    assert got[-2:].tolist() == got[[1, 0]].tolist() and len(set(got.tolist())) == 997 + 5
+    few = np.r_[0:20, len(starts) - 5:len(starts)]
+    assert [word_hashes(buf, starts[i:i + 1], ends[i:i + 1])[0] for i in few] == got[few].tolist()
+    assert not len(word_hashes(buf, starts[:0], ends[:0]))
+
+
 def test_jaccard_tokens_of_several_nodes_spread_over_groups(spark):
     """Tokens that each of many small partitions saw in several nodes do not meet in one group."""
     rows = [(" ".join(f"p{p}w{j}" for j in range(40)) + f" end{k}",) for p in range(32) for k in range(3)]
