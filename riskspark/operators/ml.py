@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, LogisticRegressionModel,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+                                       RandomForestClassificationModel)
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +24,7 @@ from ..schemas import (BOOST_DEPTH, BOOST_ITERS, BOOST_STEP, FOREST_TREES, LOGRE
                        SPLIT_SEED, TEST_FRACTION)
 from .clean import column_medians
 from .evaluate import best_model, classification_metrics, roc_auc
+from .forest import ForestModel, TableForest
 
 #: Split candidates of a feature in the forest (finer than Spark's default of 32).
 FOREST_BINS = 256
@@ -91,15 +92,15 @@ def candidate_estimators(n_train: int, seed: int = SPLIT_SEED, features: str = "
                          label: str = "label") -> dict[str, object]:
     """The three candidates with the training script's defaults mapped onto Spark:
     C = 1 on a summed loss is regParam = 1 / n on Spark's mean loss; the forest's unbounded
-    depth is Spark's cap of 30. The forest keeps every row's node in each tree, so a pass does not
-    walk all trees from their roots again for every row; the fitted trees are the same."""
+    depth is Spark's cap of 30. A large forest is grown in the tasks and kept as a table (``forest``); a small
+    one keeps every row's node in each tree, so a pass does not walk all trees from their roots again."""
     return {
         "Logistic Regression": LogisticRegression(featuresCol=features, labelCol=label, maxIter=LOGREG_MAX_ITER,
                                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                                   standardization=False),
-        "Random Forest": RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=FOREST_TREES,
-                                                maxDepth=30, maxBins=FOREST_BINS, featureSubsetStrategy="sqrt",
-                                                cacheNodeIds=True, seed=seed),
+        "Random Forest": TableForest(featuresCol=features, labelCol=label, numTrees=FOREST_TREES,
+                                     maxDepth=30, maxBins=FOREST_BINS, featureSubsetStrategy="sqrt",
+                                     cacheNodeIds=True, seed=seed),
         "Gradient Boosting": GBTClassifier(featuresCol=features, labelCol=label, maxIter=BOOST_ITERS,
                                            stepSize=BOOST_STEP, maxDepth=BOOST_DEPTH, seed=seed),
     }
@@ -159,8 +160,9 @@ def train_and_compare(df: DataFrame, feature_cols: list[str], label_col: str = "
 
     def fitted(pos: int, name: str, est) -> tuple[PipelineModel, tuple]:
         model = Pipeline(stages=[*before, assembler, est]).fit(train)
-        if isinstance(model.stages[-1], RandomForestClassificationModel):  # how it was fitted is not part of the artefact
-            for m in (model.stages[-1], *model.stages[-1].trees):
+        forest = model.stages[-1]
+        if isinstance(forest, RandomForestClassificationModel) and not isinstance(forest, ForestModel):  # how it was fitted is not part of the artefact
+            for m in (forest, *forest.trees):
                 m.clear(m.cacheNodeIds)
         pred = score(model, test).select(label_col, "prediction", "probability").persist()
         m = classification_metrics(pred, label_col, "prediction").select(

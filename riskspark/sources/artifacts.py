@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.forest import ForestModel, open_forest
 from ..session import at_once
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    """K7: Spark ML persistence (the scaler and assembler are stages of the pipeline)."""
-    model.write().overwrite().save(path)
+    """K7: Spark ML persistence (the scaler and assembler are stages of the pipeline). A forest that is a table
+    is copied as one; the artefact has the same form either way."""
+    if not any(isinstance(s, ForestModel) for s in model.stages):
+        model.write().overwrite().save(path)
+        return
+    PipelineModel([]).write().overwrite().save(path)
+    for at, stage in zip(_stage_paths(path, [s.uid for s in model.stages]), model.stages):
+        stage.save_copy(at) if isinstance(stage, ForestModel) else stage.write().save(at)
+    spark = SparkSession.active()
+    said = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    text = json.dumps(said | {"uid": model.uid, "paramMap": {"stageUids": [s.uid for s in model.stages]}})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
 def load_model(path: str) -> PipelineModel:
-    """S7."""
-    return PipelineModel.load(path)
+    """S7. A large forest is not read into the driver."""
+    spark = SparkSession.active()
+    said = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    uids = said["paramMap"].get("stageUids", [])
+    paths = _stage_paths(path, uids)
+    forests = {at: open_forest(spark, at) for u, at in zip(uids, paths) if u.startswith("RandomForestClassifier_")}
+    if not any(isinstance(f, ForestModel) for f in forests.values()):
+        return PipelineModel.load(path)
+    loaded = PipelineModel([forests[at] if at in forests else DefaultParamsReader.loadParamsInstance(at, spark) for at in paths])
+    loaded._resetUid(said["uid"])
+    return loaded
+
+
+def _stage_paths(path: str, uids: list[str]) -> list[str]:
+    return [f"{path}/stages/{k:0{len(str(len(uids)))}d}_{u}" for k, u in enumerate(uids)]
 
 
 def save_models(spark: SparkSession, models: dict[str, PipelineModel], root: str) -> None:
