@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -73,9 +74,9 @@ def artifact_manifest(spark: SparkSession, root: str, expected: list[str]) -> Da
     and compression do not enter. Rows are hashed where they are read, and their hashes folded in two
     steps (by first digits, then together), so no task gathers a large model's rows. Expected models
     without files get ``missing``."""
-    base = root.rstrip("/")
+    base = re.sub(r"^file:/+", "/", root.rstrip("/"))  # listed files name a local folder as file:/
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    rel = F.regexp_replace(F.col("path"), r"^(file:/*)?" + base.replace("/", r"\/") + "/", "")
+    rel = F.regexp_replace(F.col("path"), r"^(file:/*(?=/))?" + re.escape(base) + "/", "")
     files = files.withColumn("rel", rel).withColumn("model", F.split("rel", "/").getItem(0))
     n_files = files.groupBy("model").agg(F.count(F.lit(1)).alias("n_files"))
     # Two directories a stage: the list is as long as the pipelines, whatever the models' sizes.
@@ -88,7 +89,8 @@ def artifact_manifest(spark: SparkSession, root: str, expected: list[str]) -> Da
             row = F.to_json(F.parse_json(_plain(F.col("value"))))  # a VARIANT object keeps its keys sorted
         else:
             text = spark.read.parquet(path)
-            row = _plain(F.to_json(F.struct(*text.columns)))
+            row = F.to_json(F.struct(*text.columns))
+            row = _plain(row) if '"string"' in text.schema.json() else row  # numbers hold no names
         place = _plain(F.lit(r["dir"].partition("/")[2]))  # the stage, not the name it is saved under
         parts.append(text.select(F.lit(r["model"]).alias("model"), F.sha2(F.concat_ws("\n", place, row), 256).alias("sha")))
     names = spark.createDataFrame([(m,) for m in expected], "model string")
