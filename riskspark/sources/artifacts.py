@@ -11,7 +11,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.forest import ForestModel, open_forest
+from ..operators.forest import ForestModel, as_json, open_forest
 from ..session import at_once
 
 
@@ -26,7 +26,7 @@ def save_model(model: PipelineModel, path: str) -> None:
         stage.save_copy(at) if isinstance(stage, ForestModel) else stage.write().save(at)
     spark = SparkSession.active()
     said = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    text = json.dumps(said | {"uid": model.uid, "paramMap": {"stageUids": [s.uid for s in model.stages]}})
+    text = as_json(said | {"uid": model.uid, "paramMap": {"stageUids": [s.uid for s in model.stages]}})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
